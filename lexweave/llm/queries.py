@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexweave.llm import copies as _copies
+from lexweave.llm.cutoff import share_cut, truncated
 from lexweave.llm.units import sentence_units
 
 
@@ -27,12 +28,20 @@ def p5_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _copies.collapse(rows, "row_id", _copies.text_fields(rows))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncated(_read(spark, sf_dir, "generated_dataset"))
+
+
+def p4_share_by_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return share_cut(_read(spark, sf_dir, "generated_dataset"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_units(_read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p5_found": p5_found, "p5_copies": p5_copies, "p8_found": p8_found}
+    return {"p4_found": p4_found, "p4_share_by_model": p4_share_by_model, "p5_found": p5_found, "p5_copies": p5_copies, "p8_found": p8_found}
 
 
 def oracle_sql() -> dict[str, str]:
