@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lexweave.llm import copies as _copies
 from lexweave.llm.cutoff import share_cut, truncated
+from lexweave.llm.language import segments
 from lexweave.llm.units import sentence_units
 
 
@@ -28,6 +29,21 @@ def p5_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _copies.collapse(rows, "row_id", _copies.text_fields(rows))
 
 
+def _languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, rows = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "generated_dataset")
+    both = docs.select(F.lit("documents").alias("tbl"), F.col("doc_id").alias("record_key"), "text", F.col("lang").alias("label"))
+    both = both.unionByName(rows.select(F.lit("generated_dataset").alias("tbl"), F.col("row_id").alias("record_key"), "text", F.col("language").alias("label")))
+    return segments(both, docs, _read(spark, sf_dir, "lang_code"), ["tbl", "record_key"], "text", "label")
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _languages(spark, sf_dir).where("segs > 1 or not named").select("tbl", "record_key", "seg_no", "lang")
+
+
+def p1_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _languages(spark, sf_dir).select("tbl", "record_key", "seg_no", "start_pos", "end_pos", "lang", "confidence")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncated(_read(spark, sf_dir, "generated_dataset"))
 
@@ -41,7 +57,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p4_found": p4_found, "p4_share_by_model": p4_share_by_model, "p5_found": p5_found, "p5_copies": p5_copies, "p8_found": p8_found}
+    return {"p1_found": p1_found, "p1_segments": p1_segments, "p4_found": p4_found, "p4_share_by_model": p4_share_by_model, "p5_found": p5_found, "p5_copies": p5_copies, "p8_found": p8_found}
 
 
 def oracle_sql() -> dict[str, str]:
