@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from lexweave.llm import copies as _copies
 from lexweave.llm.cutoff import share_cut, truncated
-from lexweave.llm.language import segments
+from lexweave.llm.crf import Crf
+from lexweave.llm.language import label_names, segments, train
+from lexweave.llm.pairs import defects
+from lexweave.llm.reading import levels, sound_english
 from lexweave.llm.units import sentence_units
 
 
@@ -44,6 +47,24 @@ def p1_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _languages(spark, sf_dir).select("tbl", "record_key", "seg_no", "start_pos", "end_pos", "lang", "confidence")
 
 
+def _model(spark: SparkSession, sf_dir: str) -> Crf:
+    return train(_read(spark, sf_dir, "documents"), label_names(_read(spark, sf_dir, "lang_code").collect()))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "generated_dataset")
+    return sound_english(rows, _read(spark, sf_dir, "reading_sample"), _model(spark, sf_dir), truncated(rows))
+
+
+def p2_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return levels(_read(spark, sf_dir, "generated_dataset"), _read(spark, sf_dir, "reading_sample"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "generated_dataset")
+    return defects(rows, _model(spark, sf_dir), truncated(rows))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncated(_read(spark, sf_dir, "generated_dataset"))
 
@@ -57,7 +78,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_segments": p1_segments, "p4_found": p4_found, "p4_share_by_model": p4_share_by_model, "p5_found": p5_found, "p5_copies": p5_copies, "p8_found": p8_found}
+    return {"p1_found": p1_found, "p1_segments": p1_segments, "p2_found": p2_found, "p2_levels": p2_levels, "p3_found": p3_found, "p4_found": p4_found, "p4_share_by_model": p4_share_by_model, "p5_found": p5_found, "p5_copies": p5_copies, "p8_found": p8_found}
 
 
 def oracle_sql() -> dict[str, str]:
