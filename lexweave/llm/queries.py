@@ -11,8 +11,11 @@ from lexweave.llm import copies as _copies
 from lexweave.llm.cutoff import share_cut, truncated
 from lexweave.llm.crf import Crf
 from lexweave.llm.language import label_names, segments, train
+from lexweave.llm.mixing import mix, shares
+from lexweave.llm.packing import fill, pack
 from lexweave.llm.pairs import defects
 from lexweave.llm.reading import levels, sound_english
+from lexweave.llm.tokens import token_sizes
 from lexweave.llm.units import sentence_units
 
 
@@ -73,12 +76,30 @@ def p4_share_by_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return share_cut(_read(spark, sf_dir, "generated_dataset"))
 
 
+def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = token_sizes(_read(spark, sf_dir, "documents"), "doc_id")
+    return pack(sizes, _read(spark, sf_dir, "container_spec"))
+
+
+def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill(p6_containers(spark, sf_dir), _read(spark, sf_dir, "container_spec"))
+
+
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = token_sizes(_read(spark, sf_dir, "documents"), "doc_id", "text", "source")
+    return mix(sizes, _read(spark, sf_dir, "mix_target"))
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shares(p7_mix(spark, sf_dir), _read(spark, sf_dir, "mix_target"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_units(_read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_segments": p1_segments, "p2_found": p2_found, "p2_levels": p2_levels, "p3_found": p3_found, "p4_found": p4_found, "p4_share_by_model": p4_share_by_model, "p5_found": p5_found, "p5_copies": p5_copies, "p8_found": p8_found}
+    return {"p1_found": p1_found, "p1_segments": p1_segments, "p2_found": p2_found, "p2_levels": p2_levels, "p3_found": p3_found, "p4_found": p4_found, "p4_share_by_model": p4_share_by_model, "p5_found": p5_found, "p5_copies": p5_copies, "p6_containers": p6_containers, "p6_fill": p6_fill, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found}
 
 
 def oracle_sql() -> dict[str, str]:
