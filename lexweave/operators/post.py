@@ -23,7 +23,9 @@ def drop_empty(df: DataFrame) -> DataFrame:
 
 def clean(df: DataFrame) -> DataFrame:
     """Strip, special tokens, disclosures; row-local, also for streams."""
-    return df.withColumn("text", bind(bind(strip(F.col("text")), remove_special_tokens), remove_disclosures))
+    cleaned = bind(bind(strip(F.col("text")), remove_special_tokens), remove_disclosures)
+    # as a generated column, no filter behind it can be pushed below and clean each text again
+    return df.select(*[c for c in df.columns if c != "text"], F.explode(F.array(cleaned)).alias("text")).select(*df.columns)
 
 
 @F.pandas_udf("string")
