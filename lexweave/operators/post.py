@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from lexweave.functions.text import ERROR, bind, order_key, randint, remove_disclosures, remove_special_tokens, strip, words
 
@@ -28,7 +29,7 @@ def clean(df: DataFrame) -> DataFrame:
     return df.select(*[c for c in df.columns if c != "text"], F.explode(F.array(cleaned)).alias("text")).select(*df.columns)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fix_encoding(text: pd.Series) -> pd.Series:
     """Texts whose UTF-8 was read as Latin-1 or Windows-1252 are read again; then NFC, entities and line ends."""
 
