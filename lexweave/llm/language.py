@@ -26,7 +26,7 @@ SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_UNITS = 3000, 2000, 12
 #: Words of evidence that a change of language costs.
 CHANGE = 0.8
 UND = "und"
-_REGION = re.compile(r"^([^\W\d_]+)[-_][^\W_]+$")
+_REGION = re.compile(r"^([^\W\d_]+)(?:[-_][^\W_]+)+$")
 
 
 def label_names(rows: Sequence) -> dict[str, str]:
