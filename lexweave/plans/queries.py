@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexweave.functions import text as T
+from lexweave.functions.tokenizers import token_length
 from lexweave.operators import extract as X
 from lexweave.operators import learn as L
 from lexweave.operators import pack as P
@@ -19,10 +20,11 @@ from lexweave.operators.generate import mock_completion, mock_masks
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
+# Queries without SQL are tested in tests/test_operators.py.
 
 # ---- pieces of SQL -------------------------------------------------------------------
 SP = r"[ \t\n\r\f]"
-SPACE = T.SPACE.replace("\\x{", "\\x{")
+SPACE = T.SPACE
 
 
 def _u(seed: int, *keys: str) -> str:
@@ -471,6 +473,11 @@ def perplexity_rows(spark, d):
     return L.perplexity(read(spark, d, "generated_dataset"), "row_id", "text")
 
 
+@query()
+def token_lengths(spark, d):
+    return read(spark, d, "documents").select("doc_id", token_length(F.col("text")).alias("tokens"))
+
+
 # ---- configurations ------------------------------------------------------------------
 @query("SELECT config_path, sha256(concat_ws('|', config_path, task_type, CAST(quantity AS VARCHAR), domain, dataset, template, extractor, provider, model_name)) AS cache_key, regexp_extract(config_path, '([^/]+)$', 1) AS file_name FROM input_config")
 def config_cache_key(spark, d):

@@ -173,3 +173,34 @@ def test_stream(spark, tmp_path):
     rows = spark.readStream.schema("row_id bigint, text string, label string, domain string").parquet(str(tmp_path / "in"))
     clean_stream(rows).writeStream.format("memory").queryName("cleaned").trigger(availableNow=True).start().awaitTermination()
     assert spark.table("cleaned").count() == 6
+
+
+def test_tokenizers(spark, docs):
+    from lexweave.functions.tokenizers import KINDS, OF_PROVIDER, token_length, tokenizer, truncate_tokens
+
+    assert set(OF_PROVIDER.values()) <= set(KINDS)
+    for kind in KINDS:
+        t = tokenizer(kind)
+        assert t.decode(t.encode("a small house")).strip() == "a small house"
+    row = docs.where("doc_id = 1").select(token_length(F.col("text"), "words").alias("n"), truncate_tokens(F.col("text"), 2, "words").alias("t")).first()
+    assert (row["n"], row["t"]) == (5, "One two.")
+    assert docs.where("doc_id = 3").select(token_length(F.col("text"), "words")).first()[0] is None
+
+
+def test_vendors():
+    from lexweave.operators import vendors as V
+
+    assert V.request("amazon.x", "p", {"a": 1}) == {"inputText": "p", "textGenerationConfig": {"a": 1}}
+    assert V.answer("cohere.x", {"generations": [{"text": "t"}]}) == "t"
+    with pytest.raises(ValueError):
+        V.vendor("other.x")
+
+
+def test_cli(spark, docs, tmp_path, monkeypatch):
+    from lexweave import cli
+
+    monkeypatch.setenv("LEXWEAVE_CACHE_DIR", str(tmp_path / "cache"))
+    docs.write.parquet(str(tmp_path / "docs"))
+    (tmp_path / "c.yaml").write_text(json.dumps({"input": {"domain": "n", "dataset": "d", "dataset_text_column": "text", "template": "Go on: {words}", "extractor": "word_prefix", "language": "multilingual"}, "model": {"provider": "mock", "model_name": "m"}}))
+    cli.main(["generate", "--config", str(tmp_path / "c.yaml"), "--task", "detection", "--corpus", f"d={tmp_path / 'docs'}", "--out", str(tmp_path / "out")])
+    assert spark.read.parquet(str(tmp_path / "out")).count() > 0 and (tmp_path / "out-statistics" / "errors.md").exists()
