@@ -204,3 +204,13 @@ def test_cli(spark, docs, tmp_path, monkeypatch):
     (tmp_path / "c.yaml").write_text(json.dumps({"input": {"domain": "n", "dataset": "d", "dataset_text_column": "text", "template": "Go on: {words}", "extractor": "word_prefix", "language": "multilingual"}, "model": {"provider": "mock", "model_name": "m"}}))
     cli.main(["generate", "--config", str(tmp_path / "c.yaml"), "--task", "detection", "--corpus", f"d={tmp_path / 'docs'}", "--out", str(tmp_path / "out")])
     assert spark.read.parquet(str(tmp_path / "out")).count() > 0 and (tmp_path / "out-statistics" / "errors.md").exists()
+
+
+def test_simple_model_takes_all_lengths_and_converges(spark, monkeypatch):
+    # the two texts share all word 1-2-grams and character 3-grams; only longer ones tell them apart
+    rows = [(i, "m p m q m" if i % 2 else "m q m p m", "human" if i % 2 else "generated") for i in range(20)]
+    fits, fit = [], L.LogisticRegression.fit
+    monkeypatch.setattr(L.LogisticRegression, "fit", lambda self, df: fits.append((fit(self, df), self.getMaxIter())) or fits[-1][0])
+    got = L.simple_model(spark.createDataFrame(rows, "row_id bigint, text string, label string"), "row_id", "text", F.col("label"), k=2).collect()
+    assert len(got) == 4 and all(r["f1"] == 1.0 for r in got)
+    assert all(m.numFeatures == 6 << 14 and m.summary.totalIterations < most for m, most in fits)
