@@ -14,9 +14,6 @@ from pyspark.sql import functions as F
 
 from lexweave.functions.text import OMITTED, clean_input, order_key, randint, sentences, uniform, words
 
-#: Slots of the ring from which random examples are taken; also the rows that are broadcast.
-RING = 4096
-
 
 def placeholders(template: str) -> list[str]:
     """Names in single braces; doubled braces are text."""
@@ -139,20 +136,32 @@ def examples_fixed(df: DataFrame, id_col: str, text_col: str, k: int = 2, seed:
     return joined.select(id_col, *[F.get(F.col("e"), F.lit(i)).getField("__t").alias(f"example_{i + 1}") for i in range(k)])
 
 
+def numbered(df: DataFrame, id_col: str, text_col: str, seed: int = 13) -> DataFrame:
+    """(rank, example_id): all texts in seeded order, from 0; counts per bucket and offsets, so no task sees more than a bucket."""
+    h = order_key(seed, F.col(id_col))
+    held = df.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("example_id"), h.alias("h"), F.substring(h, 1, 3).alias("bucket"))
+    before = F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    offsets = held.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).select("bucket", before.alias("before"))
+    rank = F.col("before") + F.row_number().over(Window.partitionBy("bucket").orderBy("h", "example_id")) - 1
+    return held.join(F.broadcast(offsets), "bucket").select(rank.alias("rank"), "example_id")
+
+
 def examples_random(df: DataFrame, id_col: str, text_col: str, k: int = 2, seed: int = 13) -> DataFrame:
-    """(id, example_no, example_id): k texts per row by an equi-join on hashed slots; a ring of RING slots, never a cross join.
+    """(id, example_no, example_id): k different texts per row, each drawn from all texts, by an equi-join on their numbers.
 
-    A slot without a text takes the next one's, so every row gets k examples if there is any text.
+    The i-th draw is from the texts not drawn yet: it is shifted past the earlier ones.
+    A table with fewer than k texts gives each row all of them.
     """
-    slot = F.conv(F.substring(order_key(seed, F.col(id_col)), 1, 3), 16, 10).cast("int")
-    held = df.where(F.col(text_col).isNotNull()).select(slot.alias("slot"), F.col(id_col).alias("x")).groupBy("slot").agg(F.min("x").alias("x"))
-    ring = df.sparkSession.range(RING).select(F.col("id").cast("int").alias("slot")).join(held, "slot", "left")
-    ahead = Window.orderBy("slot").rowsBetween(0, Window.unboundedFollowing)
-    whole = Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    full = ring.select("slot", F.coalesce(F.first("x", ignorenulls=True).over(ahead), F.first("x", ignorenulls=True).over(whole)).alias("example_id"))
-    wants = df.select(id_col, F.explode(F.sequence(F.lit(1), F.lit(k))).alias("example_no"))
-    wants = wants.withColumn("slot", F.floor(uniform(seed + 1, F.col(id_col), F.col("example_no")) * RING).cast("int"))
-    return wants.join(F.broadcast(full), "slot").where("example_id is not null").select(id_col, "example_no", "example_id")
+    total = df.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).agg(F.count(F.lit(1)).alias("__total"))
+    rows = df.select(id_col).crossJoin(F.broadcast(total)).withColumn("__drawn", F.array().cast("array<bigint>"))
+    for i in range(k):
+        left = F.col("__total") - i
+        new = F.floor(uniform(seed + 1, F.col(id_col), F.lit(i + 1)) * left)
+        shifted = F.aggregate(F.array_sort("__drawn"), new, lambda at, taken: F.when(at >= taken, at + 1).otherwise(at))
+        step = F.when(left > 0, F.array_append("__drawn", shifted)).otherwise(F.col("__drawn"))
+        rows = rows.withColumn("__drawn", step)
+    wants = rows.select(id_col, F.posexplode("__drawn").alias("example_no", "rank")).withColumn("example_no", F.col("example_no") + 1)
+    return wants.join(numbered(df, id_col, text_col, seed), "rank").select(id_col, "example_no", "example_id")
 
 
 def omitted(value: Column) -> Column:

@@ -214,3 +214,18 @@ def test_simple_model_takes_all_lengths_and_converges(spark, monkeypatch):
     got = L.simple_model(spark.createDataFrame(rows, "row_id bigint, text string, label string"), "row_id", "text", F.col("label"), k=2).collect()
     assert len(got) == 4 and all(r["f1"] == 1.0 for r in got)
     assert all(m.numFeatures == 6 << 14 and m.summary.totalIterations < most for m, most in fits)
+
+
+def test_random_examples_come_from_all_texts(spark):
+    n = 6000
+    got = X.examples_random(spark.range(n).select(F.col("id").alias("doc_id"), F.lit("t").alias("text")), "doc_id", "text", 3).collect()
+    rows = {}
+    for r in got:
+        rows.setdefault(r["doc_id"], []).append(r["example_id"])
+    assert len(rows) == n and all(len(x) == len(set(x)) == 3 for x in rows.values())
+    # each text is drawn with a chance of 1 - 1 / e^3, and the larger half as often as the smaller
+    drawn = [r["example_id"] for r in got]
+    assert len(set(drawn)) > 0.93 * n and abs(sum(x >= n // 2 for x in drawn) / len(drawn) - 0.5) < 0.02
+    two = spark.createDataFrame([(1, "a"), (2, None), (3, "b"), (4, None)], SCHEMA)
+    assert sorted((r["doc_id"], r["example_id"]) for r in X.examples_random(two, "doc_id", "text", 3).collect()) == [(i, x) for i in (1, 2, 3, 4) for x in (1, 3)]
+    assert X.examples_random(two.where("text is null"), "doc_id", "text").count() == 0
