@@ -5,12 +5,16 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from lexweave.functions.text import ERROR, bind, order_key, randint, remove_disclosures, remove_special_tokens, strip, words
 
+#: Tasks whose labels say where a whole text comes from.
+LABELLED = ("detection", "attribution")
+
 
 def drop_errors(df: DataFrame) -> DataFrame:
     """Rows whose text is not the error marker; null texts go."""
@@ -22,13 +26,6 @@ def drop_empty(df: DataFrame) -> DataFrame:
     return df.where(F.col("text").isNotNull() & (F.col("text") != ""))
 
 
-def clean(df: DataFrame) -> DataFrame:
-    """Strip, special tokens, disclosures; row-local, also for streams."""
-    cleaned = bind(bind(strip(F.col("text")), remove_special_tokens), remove_disclosures)
-    # as a generated column, no filter behind it can be pushed below and clean each text again
-    return df.select(*[c for c in df.columns if c != "text"], F.explode(F.array(cleaned)).alias("text")).select(*df.columns)
-
-
 @F.pandas_udf(StringType())
 def fix_encoding(text: pd.Series) -> pd.Series:
     """Texts whose UTF-8 was read as Latin-1 or Windows-1252 are read again; then NFC, entities and line ends."""
@@ -51,6 +48,16 @@ def fix_encoding(text: pd.Series) -> pd.Series:
     return text.map(fix)
 
 
+def clean(df: DataFrame) -> DataFrame:
+    """Encoding, strip, special tokens, disclosures; row-local, also for streams."""
+    # only texts that the repair can change are sent to Python
+    sent = fix_encoding(F.when(F.col("text").rlike(r"[^\x00-\x7f]|[&\r]"), F.col("text")))
+    fixed = df.withColumn("__fixed", sent).withColumn("text", F.coalesce("__fixed", "text")).drop("__fixed")
+    cleaned = bind(bind(strip(F.col("text")), remove_special_tokens), remove_disclosures)
+    # as a generated column, no filter behind it can be pushed below and clean each text again
+    return fixed.select(*[c for c in df.columns if c != "text"], F.explode(F.array(cleaned)).alias("text")).select(*df.columns)
+
+
 def dedup_texts(df: DataFrame, key: str) -> DataFrame:
     """Of rows with one text the one with the smallest key; null texts are one text. Pre-aggregated: only keys and hashes move."""
     first = df.groupBy(F.sha2("text", 256).alias("__h")).agg(F.min(key).alias(key))
@@ -88,12 +95,19 @@ def truncate(df: DataFrame, key: str, domain: str = "domain", label: str = "labe
     return done.select(key, "new_len", F.array_join(F.slice("w", 1, F.col("new_len")), "").alias("text"))
 
 
-def postprocess(df: DataFrame, key: str, balance: bool = False) -> DataFrame:
-    """The whole sequence: clean, balance lengths, errors, empty texts, conflicting labels, repeated texts.
+def postprocess(df: DataFrame, key: str, task: str | None = None) -> DataFrame:
+    """The whole sequence of a task: clean, balance lengths, errors, empty texts, conflicting labels, repeated texts.
 
-    Conflicting labels are looked for before repeated texts go, or none would be left.
+    Lengths are balanced for detection and attribution, where labels name the origin of
+    whole texts, if there are two labels or more and ``domain``; texts of no domain are
+    balanced among themselves.  Conflicting labels are looked for before repeated texts
+    go, or none would be left; positions and spans as labels are not in conflict.
+    Without a task lengths stay and conflicts go.  The key must be unique.
     """
     out = clean(df)
-    if balance and out.select("label").distinct().limit(2).count() == 2:
-        out = out.drop("text").join(truncate(out, key).select(key, "text"), key)
-    return dedup_texts(drop_label_conflicts(drop_empty(drop_errors(out))), key)
+    if task in LABELLED and df.where("label is not null").select("label").distinct().limit(2).count() == 2:
+        out = out.withColumn("__domain", F.coalesce(F.col("domain"), F.lit("\0"))).persist(StorageLevel.MEMORY_AND_DISK)
+        cut = truncate(out, key, "__domain").select(key, "text")
+        out = out.drop("text", "__domain").join(cut, key).select(*df.columns).persist(StorageLevel.MEMORY_AND_DISK)
+    out = drop_empty(drop_errors(out))
+    return dedup_texts(drop_label_conflicts(out) if task is None or task in LABELLED else out, key)

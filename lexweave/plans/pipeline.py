@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexweave.functions import text as T
@@ -82,6 +82,8 @@ def build(corpus: DataFrame, config: Config, key: str, seed: int = 13) -> DataFr
 
 def run(spark: SparkSession, corpora: dict[str, DataFrame], configs: list[Config], run_name: str, key: str, root: str | None = None) -> tuple[DataFrame, dict[str, DataFrame]]:
     """All configurations, each from the cache if a finished run left it; the cleaned union and its statistics before cleaning."""
+    if len({c.task for c in configs}) > 1:
+        raise ValueError("the configurations of a run must have one task")
     tables = []
     for c in configs:
         done = cached(spark, c, run_name, root)
@@ -89,8 +91,12 @@ def run(spark: SparkSession, corpora: dict[str, DataFrame], configs: list[Config
             done = save(learn.filter_language(build(corpora[c.dataset], c, key), "text", c.language), c, run_name, root)
         tables.append(done)
     union = concatenate(tables)
+    # the rows of one document and of all configurations share its id; a key of its own for each row
+    apart = Window.partitionBy("__from", "model", ID).orderBy("text", "prompt")
+    numbered = concatenate([t.withColumn("__from", F.lit(i)) for i, t in enumerate(tables)]).withColumn("__n", F.row_number().over(apart))
+    keyed = numbered.withColumn("__key", F.to_json(F.struct("__from", "model", ID, "__n")))
     counts = {"domain_model": stats.domain_model_counts(union), "errors": stats.errors_per_model(union)}
-    return post.postprocess(union, ID), counts
+    return post.postprocess(keyed, "__key", configs[0].task).select(*union.columns), counts
 
 
 def show(df: DataFrame, n: int = 5, width: int = 100) -> str:

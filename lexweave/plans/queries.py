@@ -356,7 +356,7 @@ b AS (SELECT row_id, label, {_disclosure('t0')} AS text FROM a), c AS (SELECT *
 e AS (SELECT * FROM c WHERE text IN (SELECT text FROM c GROUP BY text HAVING count(DISTINCT label) = 1))
 SELECT min(row_id) AS row_id, text FROM e GROUP BY text""")
 def postprocess_full(spark, d):
-    return C.postprocess(read(spark, d, "generated_dataset").select("row_id", "label", "text"), "row_id").select("row_id", "text")
+    return C.postprocess(read(spark, d, "generated_dataset").select("row_id", "label", "domain", "text"), "row_id", "detection").select("row_id", "text")
 
 
 @query()

@@ -229,3 +229,23 @@ def test_random_examples_come_from_all_texts(spark):
     two = spark.createDataFrame([(1, "a"), (2, None), (3, "b"), (4, None)], SCHEMA)
     assert sorted((r["doc_id"], r["example_id"]) for r in X.examples_random(two, "doc_id", "text", 3).collect()) == [(i, x) for i in (1, 2, 3, 4) for x in (1, 3)]
     assert X.examples_random(two.where("text is null"), "doc_id", "text").count() == 0
+
+
+@pytest.mark.parametrize("task", ["detection", "attribution"])
+def test_post_repairs_encoding_and_balances(spark, task):
+    words = lambda n, w: " ".join(f"{w}{i}" for i in range(n))
+    rows = [(1, words(10, "a"), "x", "n"), (2, words(30, "b"), "y", "n"), (3, words(8, "Ã©tÃ©"), "x", None), (4, words(20, "c"), "y", None), (5, words(40, "é"), "x", "m"), (6, words(40, "Ã©"), "y", "m")]
+    df = spark.createDataFrame(rows, "row_id bigint, text string, label string, domain string")
+    got = {r["row_id"]: r["text"] for r in C.postprocess(df, "row_id", task).collect()}
+    assert {k: len(v.split()) for k, v in got.items()} == {1: 8, 2: 8, 3: 6, 4: 6}
+    assert got[3].startswith("été0 été1")
+    assert C.postprocess(df.where("label = 'x'"), "row_id", task).where("row_id = 1").first()["text"] == words(10, "a")
+
+
+def test_pipeline_keys_are_unique_per_row(spark, tmp_path):
+    # a text of row 1 that row 2 repeats has the smallest key of another text
+    docs = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(40))) for i in (1, 2)], SCHEMA)
+    made, _ = pipeline.run(spark, {"d": docs}, [config(extractor="dummy", template="Say {dummy}.", task="boundary")], "r", "doc_id", str(tmp_path))
+    assert made.count() == made.select("text").distinct().count() == 1
+    human, _ = pipeline.run(spark, {"d": docs}, [config(extractor="auxiliary", template="{text}"), config(extractor="auxiliary", template="On: {text}")], "r", "doc_id", str(tmp_path))
+    assert human.count() == human.select("text").distinct().count()
