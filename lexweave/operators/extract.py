@@ -101,7 +101,7 @@ def mask_sentences(df: DataFrame, id_col: str, text_col: str, share: tuple[float
 
 
 def mask_words(df: DataFrame, id_col: str, text_col: str, share: tuple[float, float] = (0.1, 0.3), spans: tuple[int, int] = (2, 5), token: str = "MASK", seed: int = 13) -> DataFrame:
-    """(id, masked_text): spans of words on a grid wider than the longest span, so that they never meet; the tail is kept."""
+    """(id, masked_text, spans, positions): spans of words on a grid wider than the longest span, so that they never meet; the tail is kept."""
     w = df.select(F.col(id_col), words(F.col(text_col)).alias("w")).where("size(w) > 0")
     part = F.lit(share[0]) + uniform(seed, F.col(id_col)) * (share[1] - share[0])
     cells = F.greatest(F.lit(1), F.floor((F.size("w") - 1) / spans[1]).cast("int"))
@@ -116,7 +116,13 @@ def mask_words(df: DataFrame, id_col: str, text_col: str, share: tuple[float, fl
         name = F.concat(F.lit(f"{token}-"), (F.array_position("cells", cell(i)) - 1).cast("string"), F.lit(" "))
         return F.when(first, name).when(inside, F.lit("")).otherwise(x)
 
-    return got.select(id_col, F.trim(F.array_join(F.transform("w", put), "")).alias("masked_text"))
+    def piece(x: Column, i: Column) -> Column:
+        inside = F.array_contains("cells", cell(i)) & (i % spans[1] < size(cell(i)))
+        return F.struct(x.alias("x"), inside.alias("inside"), (i % spans[1] == 0).alias("first"))
+
+    kept = F.filter(F.transform("w", piece), lambda e: ~e["inside"] | e["first"])
+    positions = F.filter(F.transform(kept, lambda e, i: F.when(e["inside"], (i + 1).cast("int"))), lambda p: p.isNotNull())
+    return got.select(id_col, F.trim(F.array_join(F.transform("w", put), "")).alias("masked_text"), F.transform(kept, lambda e: e["x"]).alias("spans"), positions.alias("positions"))
 
 
 def sentence_rewrites(df: DataFrame, id_col: str, text_col: str, share: tuple[float, float] = (0.3, 0.4), seed: int = 13) -> DataFrame:

@@ -7,6 +7,8 @@ one label are merged (gaps and islands); both are one window over the pieces of
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,9 +47,9 @@ def join_pieces(pieces: DataFrame, id_col: str) -> DataFrame:
     return pieces.groupBy(id_col).agg(F.array_join(F.transform(parts, lambda p: p["piece"]), "").alias("text"))
 
 
-def gap_pieces(df: DataFrame, id_col: str, text_col: str, gaps: DataFrame) -> DataFrame:
-    """Sentences with the generation of each gap (id, pos, generation) behind the sentence before it."""
-    human = df.select(F.col(id_col), F.posexplode(sentences(F.col(text_col)))).select(id_col, (F.col("pos") + 1).alias("pos"), F.lit(0).alias("sub"), F.lit("human").alias("label"), F.col("col").alias("piece"))
+def gap_pieces(df: DataFrame, id_col: str, text_col: str, gaps: DataFrame, units: Callable[[Column], Column] = sentences) -> DataFrame:
+    """Sentences or words with the generation of each gap (id, pos, generation) behind the one before it."""
+    human = df.select(F.col(id_col), F.posexplode(units(F.col(text_col)))).select(id_col, (F.col("pos") + 1).alias("pos"), F.lit(0).alias("sub"), F.lit("human").alias("label"), F.col("col").alias("piece"))
     made = gaps.select(id_col, "pos", F.lit(1).alias("sub"), F.lit("generated").alias("label"), F.concat("generation", F.lit(" ")).alias("piece"))
     return human.unionByName(made)
 

@@ -102,9 +102,10 @@ def postprocess(df: DataFrame, key: str, task: str | None = None) -> DataFrame:
     whole texts, if there are two labels or more and ``domain``; texts of no domain are
     balanced among themselves.  Conflicting labels are looked for before repeated texts
     go, or none would be left; positions and spans as labels are not in conflict.
-    Without a task lengths stay and conflicts go.  The key must be unique.
+    Texts of mixcase come cleaned, as their spans count code points.  Without a task
+    lengths stay and conflicts go.  The key must be unique.
     """
-    out = clean(df)
+    out = df if task == "mixcase" else clean(df)
     if task in LABELLED and df.where("label is not null").select("label").distinct().limit(2).count() == 2:
         out = out.withColumn("__domain", F.coalesce(F.col("domain"), F.lit("\0"))).persist(StorageLevel.MEMORY_AND_DISK)
         cut = truncate(out, key, "__domain").select(key, "text")

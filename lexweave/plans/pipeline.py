@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -59,10 +61,78 @@ def X_nouns(df: DataFrame, text: str) -> DataFrame:
     return learn.nouns(df, ID, text)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """The rows written once: a provider need not answer the same again."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lexweave-"))
+    return df.checkpoint()
+
+
+def mixed_inputs(df: DataFrame, config: Config, key: str) -> DataFrame:
+    """(key, pos, placeholders ...) of an extractor that makes rows; those of masks have spans and positions as well."""
+    name = config.extractor
+    a = config.extractor_args.get(name, {})
+    if name == "sentence_gap":
+        return X.sentence_gaps(df, key, "text", a["max_percentage_boundaries"], a["max_sentence_span"], a["gap_token"])
+    if name == "word_gap":
+        return X.word_gaps(df, key, "text", a["max_percentage_boundaries"], a["max_word_span"], tuple(a["range_boundary_size"]), a["gap_token"])
+    if name == "sentence_masking":
+        return X.mask_sentences(df, key, "text", tuple(a["percentage_range"]), a["mask_token"]).withColumn("pos", F.lit(0))
+    if name == "word_masking":
+        return X.mask_words(df, key, "text", tuple(a["percentage_range"]), tuple(a["span_length_range"]), a["mask_token"]).withColumn("pos", F.lit(0))
+    if name == "sentence_rewriting":
+        return X.sentence_rewrites(df, key, "text", tuple(a["percentage_range"]))
+    raise ValueError(f"{name} makes no rows for mixcase")
+
+
+def mixcase(prompts: DataFrame, humans: DataFrame, config: Config) -> DataFrame:
+    """Human texts, and texts with gaps filled or sentences or masks replaced by generations, both with spans as labels.
+
+    Texts and generations are cleaned before spans are counted.  A document from which
+    nothing was asked is only a human row.
+    """
+    key, kind = "__doc", "array<struct<start:int,end:int,label:string>>"
+
+    def texts(df: DataFrame) -> DataFrame:
+        again = Window.partitionBy(ID).orderBy(config.text_column)
+        named = df.withColumn(key, F.to_json(F.struct(F.col(ID), F.row_number().over(again).alias("n"))))
+        return post.drop_empty(post.clean(named.select(ID, key, F.col(config.text_column).alias("text"))))
+
+    docs = settled(texts(prompts))
+    asked = mixed_inputs(docs, config, key)
+    names = [n for n in X.placeholders(config.template) if n in asked.columns]
+    cut = budget(names, config.max_input_tokens)(asked)
+    rows = cut.withColumn("prompt", X.fill(config.template, **{n: F.col(n) for n in names})).select(key, "pos", "prompt")
+    made = settled(generate(rows, "prompt", config.provider, config.threads, config.generation))
+    if config.extractor in ("sentence_gap", "word_gap"):
+        pieces = pack.gap_pieces(docs, key, "text", made, T.words if config.extractor == "word_gap" else T.sentences)
+    elif config.extractor == "sentence_rewriting":
+        pieces = pack.rewrite_pieces(docs, key, "text", made)
+    else:
+        # the packer knows the masks as MASK-i
+        token = config.extractor_args[config.extractor]["mask_token"]
+        answer = F.regexp_replace("generation", rf'"{re.escape(token)}-(\d+)"\s*:', '"MASK-$1":')
+        pieces = pack.mask_pieces(asked.select(key, "spans", "positions").join(made.select(key, "generation"), key), key, answer)
+    generated = F.col("label") == "generated"
+    tidy = post.clean(pieces.withColumnRenamed("piece", "text").withColumn("__raw", F.col("text")))
+    pieces = settled(tidy.select(key, "pos", "sub", "label", F.when(generated, F.concat("text", F.lit(" "))).otherwise(F.col("__raw")).alias("piece")))
+    spans = pack.piece_spans(pieces, key).groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("span_start").alias("start"), F.col("span_end").alias("end"), F.col("span_label").alias("label")))).alias("spans"))
+    told = made.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "prompt"))), lambda p: p["prompt"]).alias("prompt"))
+    mixed = docs.select(ID, key).join(told, key).join(pack.join_pieces(pieces, key), key).join(spans, key)
+    lead, text = F.length("text") - F.length(F.regexp_replace("text", f"^[{T.SPACE}]+", "")), T.strip(F.col("text"))
+    moved = F.transform("spans", lambda s: F.struct(F.greatest(s["start"] - lead, F.lit(0)).alias("start"), F.least(s["end"] - lead, F.length(text)).alias("end"), s["label"].alias("label")))
+    mixed = mixed.select(ID, "prompt", text.alias("text"), F.filter(moved, lambda s: s["start"] < s["end"]).cast(kind).alias("label"), F.lit(config.model_name).alias("model"), F.lit(config.extractor).alias("extractor"))
+    whole = F.array(F.struct(F.lit(0).alias("start"), F.length("text").alias("end"), F.lit("human").alias("label"))).cast(kind)
+    return texts(humans).select(ID, F.array(F.lit(T.NO_PROMPT)).alias("prompt"), "text", whole.alias("label"), F.lit("human").alias("model"), F.lit(T.NO_EXTRACTOR).alias("extractor")).unionByName(mixed)
+
+
 def build(corpus: DataFrame, config: Config, key: str, seed: int = 13) -> DataFrame:
-    """One labelled table of a detection, attribution or boundary run."""
+    """One labelled table of a run."""
     docs = corpus.where(F.col(config.text_column).isNotNull()).withColumn(ID, F.col(key))
     prompts, humans = sampling.sample_pair(docs, ID, config.quantity, seed, config.random_sample_human)
+    if config.task == "mixcase":
+        return mixcase(prompts, humans, config).withColumns({"domain": F.lit(config.domain), "language": F.lit(config.language)})
     ready = inputs(prompts, config)
     names = [n for n in X.placeholders(config.template) if n in ready.columns]
     ready = budget(names, config.max_input_tokens)(ready)
@@ -75,8 +145,10 @@ def build(corpus: DataFrame, config: Config, key: str, seed: int = 13) -> DataFr
         out = pack.detection(made, *args, F.col("human"), F.col("generation"), config.model_name, config.extractor)
     elif config.task == "attribution":
         out = pack.attribution(made, *args, F.col("generation"), config.model_name, config.extractor)
-    else:
+    elif config.task == "boundary":
         out = pack.boundary(made, *args, F.col("human"), F.col("generation"), config.model_name, config.extractor)
+    else:
+        raise ValueError(f"unknown task {config.task}")
     return out.withColumns({"domain": F.lit(config.domain), "language": F.lit(config.language)})
 
 

@@ -196,7 +196,7 @@ def mask_sentences(spark, d):
 
 @query()
 def mask_words(spark, d):
-    return X.mask_words(read(spark, d, "documents").where("text is not null"), "doc_id", "text")
+    return X.mask_words(read(spark, d, "documents").where("text is not null"), "doc_id", "text").select("doc_id", "masked_text")
 
 
 @query(f"""WITH e AS (SELECT text, row_number() OVER (ORDER BY md5('13:' || doc_id), doc_id) AS rn FROM documents WHERE text IS NOT NULL)

@@ -249,3 +249,39 @@ def test_pipeline_keys_are_unique_per_row(spark, tmp_path):
     assert made.count() == made.select("text").distinct().count() == 1
     human, _ = pipeline.run(spark, {"d": docs}, [config(extractor="auxiliary", template="{text}"), config(extractor="auxiliary", template="On: {text}")], "r", "doc_id", str(tmp_path))
     assert human.count() == human.select("text").distinct().count()
+
+
+MIXED = {
+    "sentence_gap": ({"gap_token": "__", "max_percentage_boundaries": 0.9, "max_sentence_span": 2}, "Fill {n}: {boundaries}"),
+    "word_gap": ({"gap_token": "__", "max_percentage_boundaries": 0.1, "max_word_span": 3, "range_boundary_size": [2, 3]}, "Fill {n}: {boundaries}"),
+    "sentence_masking": ({"mask_token": "HOLE", "percentage_range": [0.3, 0.4]}, "{masked_text}"),
+    "word_masking": ({"mask_token": "MASK", "percentage_range": [0.2, 0.3], "span_length_range": [2, 3]}, "{masked_text}"),
+    "sentence_rewriting": ({"percentage_range": [0.3, 0.4]}, "Rewrite: {sentence}"),
+}
+
+
+@pytest.mark.parametrize("extractor", sorted(MIXED))
+def test_pipeline_mixcase(spark, tmp_path, extractor, monkeypatch):
+    class Fills:
+        def __init__(self, **_):
+            pass
+
+        def complete(self, prompt, **_):
+            return json.dumps({m: "new" for m in __import__("re").findall(r"(?:MASK|HOLE)-[0-9]+", prompt)}) if "masking" in extractor else "new"
+
+    monkeypatch.setitem(G.PROVIDERS, "fills", Fills)
+    args, template = MIXED[extractor]
+    docs = spark.createDataFrame([(i, f"  Text {i} begins here. " + "A b c d. E f g h! " * 6) for i in (1, 1, 2)], SCHEMA)
+    made, _ = pipeline.run(spark, {"d": docs}, [config(task="mixcase", extractor=extractor, extractor_args={extractor: args}, template=template, provider="fills")], "r", "doc_id", str(tmp_path))
+    rows = made.collect()
+    assert {r["model"] for r in rows} == {"human", "m"}
+    for r in rows:
+        at = [(s["start"], s["end"]) for s in r["label"]]
+        assert at[0][0] == 0 and at[-1][1] == len(r["text"]) and all(a[1] == b[0] for a, b in zip(at, at[1:]))
+        said = [r["text"][s["start"]:s["end"]].strip() for s in r["label"] if s["label"] == "generated"]
+        assert bool(said) == (r["model"] == "m") and all(set(x.split()) == {"new"} for x in said)
+
+
+def test_pipeline_mixcase_needs_rows(spark, docs):
+    with pytest.raises(ValueError):
+        pipeline.build(docs, config(task="mixcase"), "doc_id")
