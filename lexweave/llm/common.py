@@ -29,7 +29,10 @@ def settle(df: DataFrame) -> DataFrame:
     """The rows written once to the folder all executors share, so that nothing is computed twice or lost with an executor."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lexweave-"))
+        shared = sc.getConf().get("spark.checkpoint.dir")
+        if shared is None and not sc.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="lexweave-"))
     return df.checkpoint()
 
 
@@ -38,9 +41,13 @@ def words(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), BETWEEN_WORDS, " "))
 
 
+# A marker and its repetitions, and nothing else that shows; anchored, so that most texts of any length fail at their first word.
+_NOTHING = r"[^\p{L}\p{M}\p{Nd}]"
+_MARKER = "|".join(m.replace(" ", f"{_NOTHING}+") for m in sorted(EMPTY_MARKERS, key=len, reverse=True))
+ONLY_MARKERS = rf"(?iu)^{_NOTHING}*+(?:({_MARKER})(?:{_NOTHING}++\1)*+{_NOTHING}*+)?$"
+
+
 def is_empty(text: Column) -> Column:
-    """Null, nothing to see, only a marker for a missing answer, or only the announcement of one. Never null."""
-    bare = F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{M}\p{Nd}]+", " "))
-    marker = F.regexp_replace(bare, r"^(\S+)( \1)+$", "$1").isin("", *EMPTY_MARKERS)
-    announced = text.rlike(rf"(?s)^.{{0,{ANNOUNCEMENT}}}$") & text.rlike(r"(?U)^\s*\S[^\n]*[:：][\s*_\"'»”)\]]*$")
-    return F.when(text.isNull(), True).when(F.length(text) > 200, ~text.rlike(r"[\p{L}\p{Nd}]")).otherwise(marker | announced)
+    """Null, nothing to see, only a marker for a missing answer (once or repeated), or only the announcement of one. Never null."""
+    announced = (F.length(text) <= ANNOUNCEMENT) & text.rlike(r"(?U)^\s*\S[^\n]*[:：][\s*_\"'»”)\]]*$")
+    return F.coalesce(text.rlike(ONLY_MARKERS) | announced, F.lit(True))

@@ -7,10 +7,11 @@ never ends a sentence marks a cut.  Trigrams that do both are decided by the lon
 context that is known, and a last word that is no word by the words that follow the
 same pair elsewhere.  Scripts without spaces count by character.
 
-Plan: one pass over the tails finds the texts in question; their pairs and trigrams
-set bits in two maps of fixed size (2 ** MAP_BITS bits each, whatever the data), which
-let the pass over all texts emit only n-grams that can be asked for; those are
-pre-aggregated before the shuffle and joined with the tails on hashed keys.
+Plan: one pass over the ends of the texts finds those in question; the beginnings of
+their final trigrams set bits in a table that is sized by their number.  It is
+broadcast, so that the pass over all texts builds contexts only where such a trigram
+can stand; those are pre-aggregated before the shuffle and joined on hashed keys.
+Where the table would pass MAP_LIMIT it is left out, and every trigram is counted.
 """
 
 from __future__ import annotations
@@ -21,46 +22,70 @@ from pyspark.sql import functions as F
 from lexweave.llm.common import is_empty, settle, spread
 from lexweave.llm.units import NEVER_FINAL
 
-#: Bits of the two maps; they only thin out what is emitted, so a collision costs time and no result.
-MAP_BITS = 20
+#: Bits of the table for each trigram asked for, and the most bits that are broadcast (2 ** 27 are 40 MB there); a
+#: collision costs time and no result.
+MAP_SHARE, MAP_LIMIT = 12, 27
 #: Lengths of the contexts: words, and characters of scripts without spaces.
-LEVELS, CHAR_LEVELS = (3, 4, 6), (3, 6, 10)
+LEVELS, CHAR_LEVELS = (3, 4, 5, 6, 8), (3, 5, 8, 10)
 REACH = 10
 #: Least count for a context to be believed, and the share of ends under which it marks a cut.
 SUPPORT, ENDS = 3, 0.2
-#: Code points of the end of a text that are looked at, and of those that may stand after the break.
-TAIL, DECORATED = 400, 160
+#: Code points in which decoration behind the break is looked for first; what fills them is looked for in the whole text.
+NEAR = 60
 
 CHARS = r"\x{e01}-\x{e7f}\x{3040}-\x{30ff}\x{3400}-\x{9fff}"
+# one class decides at most characters; what follows is looked at only behind a mark or line break
 BOUNDARY = (
-    r"(?:[.!?]|(?=[^\x00-\x7f])…)++[\"”“»’')\]*_]*+(?=\s+[\"“«„¿¡(\[*_>•\-]*[\p{Lu}\p{Lo}\p{Nd}]|\s*$)|[\n\r]\s*+"
-    r"|(?=[^\x00-\x7f])[。！？।؟۔]++[\"”»」』)）*_]*+"
+    r"[.!?\n\r…。！？।؟۔](?:(?<=[.!?…])[.!?…]*+[\"”“»’')\]*_]*+(?=\s+[\"“«„¿¡(\[*_>•\-]*[\p{Lu}\p{Lo}\p{Nd}]|\s*$)"
+    r"|(?<=[\n\r])\s*+|(?<=[。！？।؟۔])[。！？।؟۔]*+[\"”»」』)）*_]*+)"
 )
 # where a script has no marks, a space parts
 THAI, THAI_SPACE = "[ก-๎]", r" +(?<=[ก-๎\"] {1,9})(?=[\"ก-๎])"
+_LIGHT = r"\s*_\"'“”„»«)\]}>|~=`）」』\p{So}\p{Sk}\p{Cf}\x{FE0F}"
+# possessive, and begun only where no run of it has begun: linear in the length of the text
 DECORATION = (
-    r"(?:\s|[*_\"'“”„»«)\]}>|~=`）」』]|[\p{So}\p{Sk}\p{Cf}\x{FE0F}]|\[\d+\]|\[(?:\.\.\.|…)\]|#[\p{L}\p{M}\p{Nd}_]+"
-    r"|https?://\S+|(?<![\p{Nd}.,])\d+/\d+|(?<=\s)[—–-] *\p{L}\. ?\p{L}\.?)+$"
+    rf"(?=[{_LIGHT}\[#h\p{{Nd}}—–-])(?<![{_LIGHT}])(?:[{_LIGHT}]++|\[\d+\]|\[(?:\.\.\.|…)\]|#[\p{{L}}\p{{M}}\p{{Nd}}_]++"
+    r"|https?://\S++|(?<![\p{Nd}.,])\d++/\d++|(?<=\s)[—–-] *+\p{L}\. ?\p{L}\.?)++$"
 )
-OPENERS = "(?:[(\"«]|(?=[^\\x00-\\xff])[„“「『（])"
-STOPS = r"[.!?…。！？।؟۔,:;，、；：،\-–—\x{FFFD}\s(“«„\"]+$"
+OPENING = "[(\\[{\"“„«（「『]"
+STOPS = r"[.!?…。！？।؟۔,:;，、；：،\-–—\x{FFFD}\s(“«„\"]++$"
+# marks of the last paragraph by what they do there; what stands in an emoticon or behind a figure opens nothing
+ROLES = [
+    (r"(?<=[:;=])[(\[{)\]}]+|(?<=[:;=]-)[(\[{)\]}]+", ""),
+    (r"“(?![\p{L}\p{M}\p{Nd}\"(\[«¿¡'‘…])", "”"),
+    (r"(?<![\p{L}\p{M}\p{Nd}.!?…,;:])\"(?=\S)", "“"),
+    (r"(?<=\p{Nd})\"|\"(?![\p{L}\p{Nd}])", "”"),
+    (r"[«»](?=\p{L})(?<![\p{L}\p{M}\p{Nd}.!?…].)", "«"),
+    (r"(?<=[\p{L}\p{M}.!?…])[«»](?![\p{L}\p{Nd}])", "»"),
+    (r"[(\[{（「『](?![\s]*[\p{L}\p{M}\p{Nd}\"“„«(\[{「『#@¿¡'‘…<*_$€£+~—–-])", ""),
+]
+_MARKS = r"()\[\]{}（）「」『』«»“”„\""
+_KINDS, _ENDS = "([{（「『«““", ")]}）」』»”\""
 
 
 def tokens(text: Column) -> Column:
-    """array<string>: lower-cased words, "0" for figures, single characters of scripts without spaces, "¶" where something ends."""
-    parted = F.when(text.rlike(THAI), F.regexp_replace(text, THAI_SPACE, " ¶ ")).otherwise(text)
-    plain = F.regexp_replace(F.regexp_replace(parted, BOUNDARY, " ¶ "), rf"[{CHARS}]\p{{M}}*", " $0 ")
-    parts = F.split(F.trim(F.regexp_replace(plain, r"[^\p{L}\p{M}\p{Nd}¶'’]++", " ")), " ")
-    # word by word: most words are ASCII or have no case, which a whole text seldom is; any figure counts as one
-    return F.transform(parts, lambda w: F.when((w >= "0") & (w < ":"), "0").when(w >= "\u0590", w).otherwise(F.lower(w)))
+    """array<string>: lower-cased words, single characters of scripts without spaces, "¶" first and where something ends."""
+    marked = F.concat(F.lit("¶ "), text)
+    parted = F.when(text.rlike(THAI), F.regexp_replace(marked, THAI_SPACE, " ¶ ")).otherwise(marked)
+    plain = F.regexp_replace(F.lower(F.regexp_replace(parted, BOUNDARY, " ¶ ")), rf"[{CHARS}]\p{{M}}*+", " $0 ")
+    return F.split(plain, r"[^\p{L}\p{M}\p{Nd}¶'’]++")
 
 
 def _open(last: Column) -> Column:
-    """Does a quotation or bracket stay open in the last paragraph?"""
-    last = F.translate(last, "“”„", '"""')
-    for pair in (r"\"[^\"]*\"", "«[^«»]*»", "「[^「」]*」", "『[^『』]*』", "（[^（）]*）", r"\([^()]*\)"):
-        last = F.regexp_replace(last, pair, "")
-    return last.rlike("[«「『（(\"]")
+    """Does a quotation or bracket stay open in the last paragraph? A stack of the marks that open and close there."""
+    # of what stands between two marks only the first two characters and the last tell anything
+    last = F.regexp_replace(last, rf"([^{_MARKS}]{{1,2}}+)[^{_MARKS}]*+(?<=([^{_MARKS}]))", "$1$2")
+    for pattern, role in ROLES:
+        last = F.regexp_replace(last, pattern, role)
+    marks = F.split(F.regexp_replace(F.translate(last, "„", "“"), rf"[^{_MARKS}]++", ""), "")
+
+    def read(stack: Column, m: Column) -> Column:
+        # what closes takes with it what never closed inside; a straight mark between letters closes what is open, else it opens
+        back = F.call_function("instr", F.reverse(stack), F.translate(m, _ENDS, _KINDS))
+        closed = F.left(stack, F.length(stack) - back)
+        return F.when(m.isin(*_KINDS) | (m == '"') & (back == 0), F.concat(stack, F.translate(m, '"', "“"))).when((m != "") & (back > 0), closed).otherwise(stack)
+
+    return F.aggregate(marks, F.lit(""), read) != ""
 
 
 def _fence(df: DataFrame, **columns: Column) -> DataFrame:
@@ -69,16 +94,28 @@ def _fence(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select(F.explode(F.array(F.struct(*keep, *[c.alias(n) for n, c in columns.items()]))).alias("e")).select("e.*")
 
 
+def _bare(text: Column) -> Column:
+    """The text without decoration behind it, looked for in a short end first."""
+
+    def within(most: int, beyond: Column) -> Column:
+        near = F.regexp_replace(F.right(text, F.lit(most)), DECORATION, "")
+        # a run that reaches beyond leaves no blank behind which it could have begun
+        done = (F.length(text) <= most) | near.rlike(r"\s\S")
+        return F.when(done, F.concat(F.left(text, F.greatest(F.length(text) - most, F.lit(0))), near)).otherwise(beyond)
+
+    return within(NEAR, F.regexp_replace(text, DECORATION, ""))
+
+
 def tails(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, t, sure) of the texts that may be cut: the REACH tokens before the break; sure: cut beyond doubt."""
-    raw = df.select(df[id_col].alias("id"), df[text_col].alias("text"))
-    short = raw.select("id", "text", F.right("text", F.lit(TAIL)).alias("tail"))
-    # a long word or a mark of its own kind at the very end, and nothing that could be open: whole
-    whole = F.right("tail", F.lit(9)).rlike(r"(?:[\p{L}\p{M}]{7}[.]|[\p{L}\p{M}]{2}[!?。！？।؟])$") & ~F.col("tail").rlike(OPENERS)
-    cut = _fence(short.where(~F.coalesce(whole, F.lit(False))).where(~is_empty(F.col("text"))).select("id", "tail"))
+    """(id, sure, own, t) of the texts that may be cut: t, their tokens up to the break; sure: cut beyond doubt; own: an end for those who count."""
+    raw = df.select(df[id_col].alias("id"), df[text_col].alias("text")).where("text is not null")
+    # shortcuts only: no abbreviation is as long, such marks are strong, and nothing is open
+    whole = F.right("text", F.lit(9)).rlike(r"(?:[\p{L}\p{M}]{7}[.]|[\p{L}\p{M}]{2}[!?。！？।؟])$")
+    opened = F.col("text").rlike(OPENING)
+    cut = _fence(raw, opened=opened).where(F.col("opened") | ~whole).where(~is_empty(F.col("text")))
     # most texts end with a word and its mark: nothing to strip there
-    plain = F.right("tail", F.lit(8)).rlike(r"[\p{L}\p{M}]{4}[.!?。！？।؟]$")
-    bare = _fence(cut, bare=F.when(plain, F.col("tail")).otherwise(F.concat(F.left("tail", F.greatest(F.length("tail") - DECORATED, F.lit(0))), F.regexp_replace(F.right("tail", F.lit(DECORATED)), DECORATION, ""))), last=F.when(F.col("tail").rlike(OPENERS) & ((F.length("tail") < TAIL) | F.col("tail").rlike(r"\n\s*\n")), F.element_at(F.split("tail", r"\n\s*\n"), -1)))
+    plain = F.right("text", F.lit(8)).rlike(r"[\p{L}\p{M}]{4}[.!?。！？।؟]$")
+    bare = _fence(cut, bare=F.when(plain, F.col("text")).otherwise(_bare(F.col("text"))), last=F.when(F.col("opened"), F.element_at(F.split("text", r"\n\s*\n"), -1)))
     titles = "|".join(sorted({w.replace(".", r"\.") for w in NEVER_FINAL.split() if w not in ("on", "no", "es", "in", "ing", "is")}))
     end = _fence(bare.select("*", F.right("bare", F.lit(40)).alias("end"), F.col("bare").endswith(".").alias("point")))
     never = F.col("end").rlike(rf"(?i)(?<![\p{{L}}\p{{M}}.])(?:{titles})\.$") | F.col("end").rlike(r"(?<![\p{L}\p{M}.\p{Nd}’'])\p{L}\.$")
@@ -86,93 +123,99 @@ def tails(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     strong = F.col("end").rlike(r"(?:(?<![.。।۔…!?！？؟])[.。।۔]|(?<![!?！？؟…])[!?！？؟]{1,2})$")
     brief = F.col("end").rlike(r"(?<![\p{L}\p{M}.])[\p{L}\p{M}.ª-]{1,9}\.$")
     sure = F.when(F.col("point") & brief, never).otherwise(False) | F.when(F.col("last").isNotNull(), _open(F.col("last"))).otherwise(False)
-    left = _fence(end.select("id", "bare", sure.alias("sure"), F.when(strong, ~F.when(F.col("point"), doubtful).otherwise(False)).otherwise(False).alias("strong")))
+    left = _fence(end.select("id", "text", "bare", sure.alias("sure"), F.when(strong, ~F.when(F.col("point"), doubtful).otherwise(False)).otherwise(False).alias("strong")))
     left = left.where("sure or not strong").withColumn("lettered", F.element_at(F.split("bare", "\n"), -1).rlike(r"\p{L}"))
-    asked = _fence(left.where("sure or (not strong and lettered)").select("id", "sure", F.regexp_replace(F.regexp_replace(F.regexp_replace("bare", STOPS, ""), DECORATION, ""), STOPS, "").alias("core")))
-    t = _fence(asked.select("id", "sure", tokens(F.col("core")).alias("t"))).select("id", "sure", F.slice(_padded(F.col("t")), -REACH, REACH).alias("t"))
+    asked = _fence(left.where("sure or (not strong and lettered)").select("id", "sure", "text", F.regexp_replace(F.regexp_replace(F.regexp_replace("bare", STOPS, ""), DECORATION, ""), STOPS, "").alias("core")))
+    behind = F.substring(F.col("text"), F.length("core") + 1, F.length("text"))
+    t = _fence(asked.select("id", "sure", behind.rlike(r"[\n\r.!?…。！？।؟۔]").alias("own"), F.filter(tokens(F.col("core")), lambda w: w != "").alias("t")))
     return t.where(F.element_at("t", -1) != "¶")
 
 
-def _padded(t: Column) -> Column:
-    return F.concat(F.array_repeat(F.lit(""), REACH - 1), F.array(F.lit("¶")), t)
+def _is_char(token: Column) -> Column:
+    """Is this a character of a script without spaces? By the order of code points, without a pattern."""
+    within = [(token >= lo) & (token < hi) for lo, hi in (("ก", "຀"), ("぀", "㄀"), ("㐀", "ꀀ"))]
+    return within[0] | within[1] | within[2]
+
 
+def _back(at: Column, k: int) -> Column:
+    """The token k places before ``at`` as it is counted: any figure is one; null beyond the beginning."""
+    w = F.get("t", at - k)
+    return F.when((w >= "0") & (w < ":"), "0").otherwise(w)
 
-def _hash(words: list[Column]) -> Column:
-    return F.xxhash64(F.lit(len(words)), *words)
 
+def _begun(at: Column) -> Column:
+    """Hash of what is known of a final trigram before it is looked up: its pair and the first character of its last word."""
+    return F.xxhash64(_back(at, 2), _back(at, 1), F.left(_back(at, 0), F.lit(1)))
 
-def _is_char(token: Column) -> Column:
-    """Is this a character of a script without spaces? By the order of code points, without a pattern."""
-    within = [(token >= lo) & (token < hi) for lo, hi in (("\u0e01", "\u0e80"), ("\u3040", "\u3100"), ("\u3400", "\ua000"))]
-    return within[0] | within[1] | within[2]
+
+def _gram(k: int) -> Column:
+    """Hash of the last k tokens w0, w1 .., the last first."""
+    return F.xxhash64(F.lit(k), *[F.col(f"w{i}") for i in range(k)])
 
 
-def _at(h: Column) -> tuple[Column, Column]:
-    at = F.shiftrightunsigned(h, 64 - MAP_BITS)
-    return F.shiftright(at, 6).cast("int"), (at % 64).cast("int")
+def _pair() -> Column:
+    """Hash of the pair before the last token."""
+    return F.xxhash64(F.lit(2), "w1", "w2")
 
 
-def _map(hashes: DataFrame) -> Column:
-    """array<bigint>: a bit for each hash of the one column; its size is fixed."""
-    word, bit = _at(F.col("h"))
-    rows = hashes.groupBy(word.alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)).alias("b")).collect()
-    bits = {r["w"]: r["b"] for r in rows}
-    return F.split(F.lit(",".join(str(bits.get(k, 0)) for k in range(1 << MAP_BITS - 6))), ",").cast("array<bigint>")
+def _mapped(keys: DataFrame, name: str, bits: int) -> DataFrame:
+    """(word, set): a table of 2 ** bits bits, one set for each hash in the column ``name``."""
+    at = keys.select(F.shiftrightunsigned(name, 64 - bits).alias("p"))
+    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("p") % 64).cast("int"))
+    return at.groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(one).alias("set"))
 
 
-def _has(bits: Column, h: Column) -> Column:
-    word, bit = _at(h)
-    return F.call_function("shiftrightunsigned", F.get(bits, word), bit).bitwiseAND(F.lit(1)) == 1
+def _set(name: str, bits: int) -> Column:
+    """The condition of a join with such a table: the bit of the hash in the column ``name`` is set."""
+    p = F.shiftrightunsigned(name, 64 - bits)
+    return (F.shiftright(p, 6) == F.col("word")) & (F.call_function("getbit", F.col("set"), (p % 64).cast("int")) == 1)
 
 
-def truncated(df: DataFrame, id_col: str = "row_id", text_col: str = "text") -> DataFrame:
+def truncated(df: DataFrame, id_col: str = "row_id", text_col: str = "text", map_limit: int = MAP_LIMIT) -> DataFrame:
     """(id): the rows whose text breaks off inside a sentence or word, whatever stands after the break.
 
     Empty texts (null, blank, markers, bare announcements) are no cases.  Repeated rows
     are judged each for itself, an empty table gives none, other columns are not read.
     """
     df = spread(df.select(id_col, text_col))
-    asked = settle(tails(df, id_col, text_col))
-    word = F.element_at("t", -1)
-    last = [F.xxhash64(F.element_at("t", k - REACH)) for k in range(REACH)]
-    deep = [(k, c) for c, levels in ((False, LEVELS), (True, CHAR_LEVELS)) for k in levels]
-    finals = asked.select("id", "sure", word.alias("w3"), _is_char(word).alias("chars"), _hash(last[-3:-1]).alias("h2"), *[_hash(last[-k:]).alias(f"g{k}") for k in sorted({k for k, _ in deep})])
-    pairs = _map(finals.where("not chars").select(F.col("h2").alias("h")))
-    thirds = _map(finals.select(F.col("g3").alias("h")))
-
-    # every text as rows of the hashes of REACH tokens, the last token and the one that follows, thinned by the maps
-    stream = _fence(df.select(_padded(tokens(F.coalesce(df[text_col], F.lit("")))).alias("t")))
-    stream = _fence(stream, x=F.transform("t", lambda w: F.xxhash64(w)))
-    n = F.size("t") - REACH
-    names = [*(f"w{k}" for k in range(REACH + 1)), "third"]
-    rows = stream.select(F.inline(F.arrays_zip(*[F.slice("x", k + 1, n).alias(names[k]) for k in range(REACH + 1)], F.slice("t", REACH, n).alias("third")))).toDF(*names)
-    w = [F.col(c) for c in names[:REACH]]
-    third, end = F.col("third"), F.col(f"w{REACH}") == F.xxhash64(F.lit("¶"))
-    thin = rows.where(third != "¶").select("*", _hash(w[-3:-1]).alias("h2"), _hash(w[-3:]).alias("h3"))
-    pair, all3, char = _has(pairs, F.col("h2")), _has(thirds, F.col("h3")), _is_char(third)
-    asked_for = thin.select("*", pair.alias("pair"), all3.alias("all3"), char.alias("char")).where("pair or all3")
-    # rows of one shape for both counts, so that one pass and one exchange serve them; a null hash asks for nothing
-    none = F.lit(None).cast("string")
-    emits = [F.struct(F.when(F.col("pair") & ~F.col("char"), F.col("h2")).alias("h"), F.when(~F.col("char"), third).alias("w"))]
-    emits += [F.struct(F.when(F.col("all3"), F.when(F.col("char"), _hash(w[-c:])).otherwise(_hash(w[-k:]))).alias("h"), none.alias("w")) for k, c in zip(LEVELS, CHAR_LEVELS, strict=True)]
-    emitted = asked_for.select(end.alias("end"), F.explode(F.array(*emits)).alias("e")).select("e.h", "e.w", "end").where("h is not null")
-    counted = settle(emitted.groupBy("h", "w").agg(F.count_if("end").alias("ends"), F.count(F.lit(1)).alias("n")))
-    grams, follow = counted.where(f"w is null and n >= {SUPPORT}").select("h", "ends", "n"), counted.where("w is not null").select(F.col("h").alias("h2"), "w", "n")
-
-    # the longest context that is known well enough
-    choose = lambda levels: F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"g{k}").alias("h")) for k in levels])
-    asks = finals.where("not sure").select("id", F.explode(F.when(F.col("chars"), choose(CHAR_LEVELS)).otherwise(choose(LEVELS))).alias("l")).select("id", "l.k", "l.h")
-    best = asks.join(grams, "h").groupBy("id").agg(F.max_by(F.col("ends") / F.col("n"), "k").alias("share"))
-
-    # a last word that is only the beginning of what follows the same pair elsewhere
-    parts = finals.where("not sure and not chars").select("id", "h2", F.col("w3").alias("part"))
-    longer = parts.join(follow, "h2").groupBy("id").agg(
+    last = (F.size("t") - 1).cast("int")
+    found = tails(df, id_col, text_col).select("id", "sure", "own", _begun(last).alias("begun"), *[_back(last, k).alias(f"w{k}") for k in range(REACH)])
+    asks = F.when(_is_char(F.col("w0")), F.array(*map(_gram, CHAR_LEVELS))).otherwise(F.array(_pair(), *map(_gram, LEVELS)))
+    asked = settle(found.select(F.monotonically_increasing_id().alias("u"), "id", "sure", "own", F.col("w0").alias("part"), "begun", _gram(3).alias("g3"), asks.alias("asks")))
+    unsure = asked.where("not sure")
+    bits = max(12, (MAP_SHARE * unsure.count()).bit_length())
+
+    # every text as rows of its tokens; contexts only where a trigram that is asked for can stand
+    at = F.col("at")
+    stream = _fence(df.where(df[text_col].isNotNull()).select(tokens(df[text_col]).alias("t")))
+    rows = stream.select("t", F.posexplode("t").alias("at", "w")).where(~F.col("w").isin("", "¶")).select("t", "at", _begun(at).alias("begun"))
+    if bits <= map_limit:
+        rows = rows.join(F.broadcast(_mapped(unsure, "begun", bits)), _set("begun", bits), "left_semi")
+    hit = rows.select(F.get("t", at + 1).alias("next"), *[_back(at, k).alias(f"w{k}") for k in range(REACH)]).where("next <> ''")
+    hit = hit.select("*", _gram(3).alias("g3"))
+    if bits <= map_limit:
+        hit = hit.join(F.broadcast(_mapped(unsure, "g3", bits).withColumn("known", F.lit(True))), _set("g3", bits), "left")
+    else:
+        hit = hit.withColumn("known", F.lit(True))
+    # rows of one shape for all counts, so that one exchange serves them; a null hash asks for nothing
+    none, char = F.lit(None).cast("string"), _is_char(F.col("w0"))
+    emits = [F.struct(F.when(~char, _pair()).alias("h"), F.col("w0").alias("w"))]
+    emits += [F.struct(F.when(F.col("known") & right, _gram(k)).alias("h"), none.alias("w")) for right, levels in ((~char, LEVELS), (char, CHAR_LEVELS)) for k in levels]
+    emitted = hit.select((F.col("next") == "¶").alias("end"), F.explode(F.array(*emits)).alias("e")).select("e.h", "e.w", "end").where("h is not null")
+    counted = emitted.groupBy("h", "w").agg(F.count_if("end").alias("ends"), F.count(F.lit(1)).alias("n"))
+
+    # the longest context that is known well enough from other places; a last word that is only the beginning of what
+    # follows the same pair elsewhere
+    own = F.col("own").cast("int")
+    asks = unsure.select("u", "id", "part", "own", F.posexplode("asks").alias("k", "h"))
+    known = F.col("w").isNull() & (F.col("n") - own >= SUPPORT)
+    near = asks.join(counted, "h").groupBy("u", "id").agg(
+        F.max_by(F.when(known, (F.col("ends") - own) / (F.col("n") - own)), F.when(known, F.col("k"))).alias("share"),
         F.sum(F.when(F.col("w").startswith(F.col("part")) & (F.col("w") != F.col("part")), F.col("n")).otherwise(0)).alias("longer"),
         F.sum(F.when(F.col("w") == F.col("part"), F.col("n")).otherwise(0)).alias("same"),
     )
-    judged = finals.select("id", "sure").join(best, "id", "left").join(longer, "id", "left")
-    broken = F.coalesce(F.col("longer"), F.lit(0)) > 5 * F.coalesce(F.col("same"), F.lit(0))
-    return judged.where(F.col("sure") | (F.coalesce(F.col("share"), F.lit(1.0)) < ENDS) | F.col("share").isNull() & broken).select(F.col("id").alias(id_col)).distinct()
+    cut = near.where((F.coalesce(F.col("share"), F.lit(1.0)) < ENDS) | F.col("share").isNull() & (F.col("longer") > 5 * F.col("same")))
+    return cut.select("id").unionByName(asked.where("sure").select("id")).distinct().withColumnRenamed("id", id_col)
 
 
 def share_cut(df: DataFrame, id_col: str = "row_id", text_col: str = "text", by: str = "model") -> DataFrame:
