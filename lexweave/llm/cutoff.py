@@ -59,7 +59,7 @@ ROLES = [
     (r"(?<=[\p{L}\p{M}.!?…])[«»](?![\p{L}\p{Nd}])", "»"),
     (r"[(\[{（「『](?![\s]*[\p{L}\p{M}\p{Nd}\"“„«(\[{「『#@¿¡'‘…<*_$€£+~—–-])", ""),
 ]
-_MARKS = r"()\[\]{}（）「」『』«»“”„\""
+_MARKS = r"()\[\]{}«»\"“-„「-』（-）"
 _KINDS, _ENDS = "([{（「『«““", ")]}）」』»”\""
 
 
@@ -74,7 +74,8 @@ def tokens(text: Column) -> Column:
 def _open(last: Column) -> Column:
     """Does a quotation or bracket stay open in the last paragraph? A stack of the marks that open and close there."""
     # of what stands between two marks only the first two characters and the last tell anything
-    last = F.regexp_replace(last, rf"([^{_MARKS}]{{1,2}}+)[^{_MARKS}]*+(?<=([^{_MARKS}]))", "$1$2")
+    pieces = F.split(last, rf"(?<=[{_MARKS}])|(?=[{_MARKS}])")
+    last = F.array_join(F.transform(pieces, lambda p: F.when(F.length(p) > 3, F.concat(F.left(p, F.lit(2)), F.right(p, F.lit(1)))).otherwise(p)), "")
     for pattern, role in ROLES:
         last = F.regexp_replace(last, pattern, role)
     marks = F.split(F.regexp_replace(F.translate(last, "„", "“"), rf"[^{_MARKS}]++", ""), "")
@@ -181,7 +182,7 @@ def truncated(df: DataFrame, id_col: str = "row_id", text_col: str = "text", map
     last = (F.size("t") - 1).cast("int")
     found = tails(df, id_col, text_col).select("id", "sure", "own", _begun(last).alias("begun"), *[_back(last, k).alias(f"w{k}") for k in range(REACH)])
     asks = F.when(_is_char(F.col("w0")), F.array(*map(_gram, CHAR_LEVELS))).otherwise(F.array(_pair(), *map(_gram, LEVELS)))
-    asked = settle(found.select(F.monotonically_increasing_id().alias("u"), "id", "sure", "own", F.col("w0").alias("part"), "begun", _gram(3).alias("g3"), asks.alias("asks")))
+    asked = settle(found.select(F.monotonically_increasing_id().alias("u"), "id", "sure", "own", F.col("w0").alias("part"), "begun", asks.alias("asks")))
     unsure = asked.where("not sure")
     bits = max(12, (MAP_SHARE * unsure.count()).bit_length())
 
@@ -192,17 +193,18 @@ def truncated(df: DataFrame, id_col: str = "row_id", text_col: str = "text", map
     if bits <= map_limit:
         rows = rows.join(F.broadcast(_mapped(unsure, "begun", bits)), _set("begun", bits), "left_semi")
     hit = rows.select(F.get("t", at + 1).alias("next"), *[_back(at, k).alias(f"w{k}") for k in range(REACH)]).where("next <> ''")
-    hit = hit.select("*", _gram(3).alias("g3"))
+    # of each place the trigram with its pair, and the longer contexts that are asked for; one shape, so that one exchange
+    # serves all counts; a character tells nothing of a word it begins
+    none, char, end = F.lit(None), _is_char(F.col("w0")), (F.col("next") == "¶").alias("end")
+    emits = [F.struct(_gram(3).alias("h"), F.when(~char, _pair()).alias("pair"), F.when(~char, F.col("w0")).alias("w"))]
+    emits += [F.struct(F.when(right, _gram(k)).alias("h"), none.cast("bigint").alias("pair"), none.cast("string").alias("w")) for right, levels in ((~char, LEVELS), (char, CHAR_LEVELS)) for k in levels if k > 3]
+    emitted = hit.select(end, F.explode(F.array(*emits)).alias("e")).select("e.h", "e.pair", "e.w", "end").where("h is not null")
     if bits <= map_limit:
-        hit = hit.join(F.broadcast(_mapped(unsure, "g3", bits).withColumn("known", F.lit(True))), _set("g3", bits), "left")
-    else:
-        hit = hit.withColumn("known", F.lit(True))
-    # rows of one shape for all counts, so that one exchange serves them; a null hash asks for nothing
-    none, char = F.lit(None).cast("string"), _is_char(F.col("w0"))
-    emits = [F.struct(F.when(~char, _pair()).alias("h"), F.col("w0").alias("w"))]
-    emits += [F.struct(F.when(F.col("known") & right, _gram(k)).alias("h"), none.alias("w")) for right, levels in ((~char, LEVELS), (char, CHAR_LEVELS)) for k in levels]
-    emitted = hit.select((F.col("next") == "¶").alias("end"), F.explode(F.array(*emits)).alias("e")).select("e.h", "e.w", "end").where("h is not null")
-    counted = emitted.groupBy("h", "w").agg(F.count_if("end").alias("ends"), F.count(F.lit(1)).alias("n"))
+        every = unsure.select(F.explode("asks").alias("h"))
+        emitted = emitted.join(F.broadcast(_mapped(every, "h", bits + 2)), _set("h", bits + 2), "left").where("w is not null or word is not null")
+    counted = emitted.groupBy("h", "pair", "w").agg(F.count_if("end").alias("ends"), F.count(F.lit(1)).alias("n"))
+    none = F.lit(None).cast("string")
+    counted = counted.select(F.explode(F.array(F.struct("h", none.alias("w")), F.struct(F.col("pair").alias("h"), "w"))).alias("e"), "ends", "n").select("e.*", "ends", "n").where("h is not null")
 
     # the longest context that is known well enough from other places; a last word that is only the beginning of what
     # follows the same pair elsewhere
