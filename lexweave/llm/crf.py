@@ -15,6 +15,8 @@ import numpy as np
 
 #: Rows of the weight table; the model has a fixed size of BUCKETS x labels numbers.
 BUCKETS = 1 << 15
+#: Bounds of the fit: sentences drawn of each language, words of one, rounds over them.
+SENTENCES, SENTENCE_WORDS, EPOCHS = 160, 24, 4
 WORD = re.compile(r"[一-鿿㐀-䶿]{1,2}|[぀-ヿー]{1,3}|[ก-๿]{1,6}|[ऀ-ॿ]+|[؀-ۿ]+|[Ѐ-ӿ]+|(?:[^\W\d_]|[̀-ͯ])+(?:[’'](?=[^\W\d_]))?")
 NOISE = re.compile(r"https?://\S+|www\.\S+|[#@][^\s#@]+|\b[\w-]+(?:\.[\w-]+)+(?:/\S*)?|<\|?[^<>\s]{1,20}\|?>")
 
@@ -60,7 +62,7 @@ def features(word: str, lexicon: dict[str, list[str]]) -> list[int]:
     elif kind == "latin":
         framed = f"<{word}>"
         out += [f"p:{word[:k]}" for k in (1, 2, 3) if len(word) >= k] + [f"x:{word[-k:]}" for k in (1, 2, 3, 4) if len(word) >= k]
-        out += [f"n:{framed[k : k + 3]}" for k in range(len(framed) - 2)][:12]
+        out += [f"n:{framed[k : k + 3]}" for k in range(len(framed) - 2)]
         out += [f"u:{ch}" for ch in set(word) if ch > "z"]
     out += [f"l:{lang}" for lang in lexicon.get(word, ())]
     return [crc32(f.encode()) % BUCKETS for f in out]
@@ -182,7 +184,7 @@ def clean(sentences: list[tuple[list[str], int]], model: Crf) -> list[tuple[list
     return [(words, y) for words, y in sentences if int(np.sum([score[w] for w in words], 0).argmax()) == y]
 
 
-def fit(sentences: list[tuple[list[str], int]], labels: list[str], epochs: int = 4, seed: int = 13) -> Crf:
+def fit(sentences: list[tuple[list[str], int]], labels: list[str], epochs: int = EPOCHS, seed: int = 13) -> Crf:
     """Learn weights and transitions from labelled sentences; the same input gives the same model."""
     model, rng = Crf(labels), np.random.default_rng(seed)
     n = len(labels)
@@ -190,8 +192,7 @@ def fit(sentences: list[tuple[list[str], int]], labels: list[str], epochs: int =
     listed = [(w.split(), labels.index(lang)) for lang, w in STOPWORDS.items() if lang in labels]
     data = clean(sentences, model) + listed * 3 if sentences else listed * 20
     per = [[words for words, y in data if y == k] for k in range(n)]
-    quota = 160
-    pool = [(p[int(i)], k) for k, p in enumerate(per) if p for i in rng.integers(0, len(p), quota)]
+    pool = [(p[int(i)], k) for k, p in enumerate(per) if p for i in rng.integers(0, len(p), SENTENCES)]
     known: dict[str, int] = {}
     table: list[list[int]] = []
     for words, _ in pool:
@@ -214,7 +215,7 @@ def fit(sentences: list[tuple[list[str], int]], labels: list[str], epochs: int =
             for _ in range(int(rng.integers(1, 4))):
                 if at < len(order):
                     words, y = pool[order[at]]
-                    cut = words[:24]
+                    cut = words[:SENTENCE_WORDS]
                     if rng.random() < 0.15:  # a phrase alone
                         a = int(rng.integers(0, len(cut)))
                         cut = cut[a : a + 4]

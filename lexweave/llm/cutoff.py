@@ -45,9 +45,9 @@ _LIGHT = r"\s*_\"'“”„»«)\]}>|~=`）」』\p{So}\p{Sk}\p{Cf}\x{FE0F}"
 # possessive, and begun only where no run of it has begun: linear in the length of the text
 DECORATION = (
     rf"(?=[{_LIGHT}\[#h\p{{Nd}}—–-])(?<![{_LIGHT}])(?:[{_LIGHT}]++|\[\d+\]|\[(?:\.\.\.|…)\]|#[\p{{L}}\p{{M}}\p{{Nd}}_]++"
-    r"|https?://\S++|(?<![\p{Nd}.,])\d++/\d++|(?<=\s)[—–-] *+\p{L}\. ?\p{L}\.?)++$"
+    r"|https?://\S++|(?<![\p{Nd}.,])\d++/\d++|(?<=\s)[—–-]\s*+\p{L}[.;,…]++\s*+\p{L}[.;]?)++$"
 )
-OPENING = "[(\\[{\"“„«（「『]"
+OPENING = "[(\\[{\"«“-„「-』（]"
 STOPS = r"[.!?…。！？।؟۔,:;，、；：،\-–—\x{FFFD}\s(“«„\"]++$"
 # marks of the last paragraph by what they do there; what stands in an emoticon or behind a figure opens nothing
 ROLES = [
@@ -117,13 +117,14 @@ def tails(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     # most texts end with a word and its mark: nothing to strip there
     plain = F.right("text", F.lit(8)).rlike(r"[\p{L}\p{M}]{4}[.!?。！？।؟]$")
     bare = _fence(cut, bare=F.when(plain, F.col("text")).otherwise(_bare(F.col("text"))), last=F.when(F.col("opened"), F.element_at(F.split("text", r"\n\s*\n"), -1)))
-    titles = "|".join(sorted({w.replace(".", r"\.") for w in NEVER_FINAL.split() if w not in ("on", "no", "es", "in", "ing", "is")}))
-    end = _fence(bare.select("*", F.right("bare", F.lit(40)).alias("end"), F.col("bare").endswith(".").alias("point")))
-    never = F.col("end").rlike(rf"(?i)(?<![\p{{L}}\p{{M}}.])(?:{titles})\.$") | F.col("end").rlike(r"(?<![\p{L}\p{M}.\p{Nd}’'])\p{L}\.$")
-    doubtful = F.col("end").rlike(r"(?:\p{Nd}|[\p{L}\p{Nd}]\.[\p{L}\p{Nd}]+)\.$")
-    strong = F.col("end").rlike(r"(?:(?<![.。।۔…!?！？؟])[.。।۔]|(?<![!?！？؟…])[!?！？؟]{1,2})$")
-    brief = F.col("end").rlike(r"(?<![\p{L}\p{M}.])[\p{L}\p{M}.ª-]{1,9}\.$")
-    sure = F.when(F.col("point") & brief, never).otherwise(False) | F.when(F.col("last").isNotNull(), _open(F.col("last"))).otherwise(False)
+    # the word before a final point: one that never ends a sentence, an initial, or a figure or address that may go on
+    end = _fence(bare.select("*", F.right("bare", F.lit(24)).alias("end"), F.col("bare").endswith(".").alias("point")))
+    end = _fence(end, word=F.when(F.col("point"), F.lower(F.regexp_extract(F.right("end", F.lit(16)), r"([\p{L}\p{M}.ª-]*[\p{L}\p{M}ª-])\.$", 1))))
+    titles = sorted({w for w in NEVER_FINAL.split() if w not in ("on", "no", "es", "in", "ing", "is")})
+    never = F.col("word").isin(titles) | F.substring_index("word", "-", -1).isin(titles) | F.right("end", F.lit(3)).rlike(r"(?<![\p{L}\p{M}.\p{Nd}’'])\p{L}\.$")
+    doubtful = F.col("end").rlike(r"(?:\p{Nd}|[\p{L}\p{Nd}]\.[\p{L}\p{Nd}]++)\.$")
+    strong = F.right("end", F.lit(3)).rlike(r"(?:(?<![.。।۔…!?！？؟])[.。।۔]|(?<![!?！？؟…])[!?！？؟]{1,2})$")
+    sure = F.when(F.col("word") != "", never).otherwise(False) | F.when(F.col("last").isNotNull(), _open(F.col("last"))).otherwise(False)
     left = _fence(end.select("id", "text", "bare", sure.alias("sure"), F.when(strong, ~F.when(F.col("point"), doubtful).otherwise(False)).otherwise(False).alias("strong")))
     left = left.where("sure or not strong").withColumn("lettered", F.element_at(F.split("bare", "\n"), -1).rlike(r"\p{L}"))
     asked = _fence(left.where("sure or (not strong and lettered)").select("id", "sure", "text", F.regexp_replace(F.regexp_replace(F.regexp_replace("bare", STOPS, ""), DECORATION, ""), STOPS, "").alias("core")))
@@ -195,10 +196,11 @@ def truncated(df: DataFrame, id_col: str = "row_id", text_col: str = "text", map
     hit = rows.select(F.get("t", at + 1).alias("next"), *[_back(at, k).alias(f"w{k}") for k in range(REACH)]).where("next <> ''")
     # of each place the trigram with its pair, and the longer contexts that are asked for; one shape, so that one exchange
     # serves all counts; a character tells nothing of a word it begins
-    none, char, end = F.lit(None), _is_char(F.col("w0")), (F.col("next") == "¶").alias("end")
-    emits = [F.struct(_gram(3).alias("h"), F.when(~char, _pair()).alias("pair"), F.when(~char, F.col("w0")).alias("w"))]
-    emits += [F.struct(F.when(right, _gram(k)).alias("h"), none.cast("bigint").alias("pair"), none.cast("string").alias("w")) for right, levels in ((~char, LEVELS), (char, CHAR_LEVELS)) for k in levels if k > 3]
-    emitted = hit.select(end, F.explode(F.array(*emits)).alias("e")).select("e.h", "e.pair", "e.w", "end").where("h is not null")
+    none, end = F.lit(None), (F.col("next") == "¶").alias("end")
+    alone = lambda levels: [F.struct(_gram(k).alias("h"), none.cast("bigint").alias("pair"), none.cast("string").alias("w")) for k in levels]
+    words = F.array(F.struct(_gram(3).alias("h"), _pair().alias("pair"), F.col("w0").alias("w")), *alone(LEVELS[1:]))
+    emits = F.when(_is_char(F.col("w0")), F.array(*alone(CHAR_LEVELS))).otherwise(words)
+    emitted = hit.select(end, F.explode(emits).alias("e")).select("e.h", "e.pair", "e.w", "end").where("h is not null")
     if bits <= map_limit:
         every = unsure.select(F.explode("asks").alias("h"))
         emitted = emitted.join(F.broadcast(_mapped(every, "h", bits + 2)), _set("h", bits + 2), "left").where("w is not null or word is not null")

@@ -60,7 +60,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return levels(_read(spark, sf_dir, "generated_dataset"), _read(spark, sf_dir, "reading_sample"))
+    return levels(_read(spark, sf_dir, "generated_dataset"), _read(spark, sf_dir, "reading_sample"), _model(spark, sf_dir))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -48,7 +48,7 @@ CLOSERS = set("»”“\"'’)]}）」』》〉】］*_")
 OPENERS = set("«“„\"'‘([{（「『《〈【［¿¡")
 BREAKS = "\n\r\x0b\x0c\x1c\x1d\x1e\x85  "
 
-_BLANK = re.compile(r"(?:\r\n|[\n\r\x0b\x0c\x85 ])[^\S\r\n]*(?:\r\n|[\n\r\x0b\x0c\x85 ])\s*| \s*")
+_BLANK = re.compile(r"(?>\r\n|[\n\r\x0b\x0c\x85 ])[^\S\r\n]*(?>\r\n|[\n\r\x0b\x0c\x85 ])\s*| \s*")
 _STACKED = re.compile("[«»“”„\"()\\[\\]{}（）「」『』《》〈〉【】［］]")
 _EVENT = re.compile(
     f"(?P<mark>[{MARKS}]+(?:[^\\S{BREAKS}]?[!?…]+)*)"
@@ -155,8 +155,8 @@ def _next(s: str, i: int, hi: int) -> tuple[int, str]:
     return i, "s"
 
 
-def units(text: str | None) -> list[tuple[int, int]]:
-    """Half-open ranges of the sentence units of a text; none for a null or blank text."""
+def units(text: str | None, most: int = 0) -> list[tuple[int, int]]:
+    """Half-open ranges of the sentence units of a text, or of its first ``most``; none for a null or blank text."""
     if not text or text.isspace():
         return []
     n = len(text)
@@ -164,10 +164,12 @@ def units(text: str | None) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     lo = 0
     for m in _BLANK.finditer(text):
-        _paragraph(text, lo, m.start(), flat, out)
+        _paragraph(text, lo, m.start(), flat, out, most)
+        if most and len(out) >= most:
+            return out[:most]
         lo = m.end()
-    _paragraph(text, lo, n, flat, out)
-    return out
+    _paragraph(text, lo, n, flat, out, most)
+    return out[:most] if most else out
 
 
 def _emit(s: str, a: int, b: int, out: list[tuple[int, int]]) -> None:
@@ -179,7 +181,7 @@ def _emit(s: str, a: int, b: int, out: list[tuple[int, int]]) -> None:
         out.append((a, b))
 
 
-def _paragraph(s: str, lo: int, hi: int, flat: bool, out: list[tuple[int, int]]) -> None:
+def _paragraph(s: str, lo: int, hi: int, flat: bool, out: list[tuple[int, int]], most: int = 0) -> None:
     while lo < hi and s[lo].isspace():
         lo += 1
     if lo >= hi:
@@ -187,7 +189,7 @@ def _paragraph(s: str, lo: int, hi: int, flat: bool, out: list[tuple[int, int]])
     spans = _pairs(s, lo, hi)
     at, ns, start, pos = 0, len(spans), lo, lo
     listed = bool(_LIST.match(s, lo, hi))
-    while True:
+    while not most or len(out) < most:
         stop = spans[at][0] if at < ns else hi
         m = _EVENT.search(s, pos, hi)
         if at < ns and (m is None or m.start() >= stop):
