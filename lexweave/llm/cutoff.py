@@ -16,6 +16,9 @@ Where the table would pass MAP_LIMIT it is left out, and every trigram is counte
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,7 +50,7 @@ DECORATION = (
     rf"(?=[{_LIGHT}\[#h\p{{Nd}}—–-])(?<![{_LIGHT}])(?:[{_LIGHT}]++|\[\d+\]|\[(?:\.\.\.|…)\]|#[\p{{L}}\p{{M}}\p{{Nd}}_]++"
     r"|https?://\S++|(?<![\p{Nd}.,])\d++/\d++|(?<=\s)[—–-]\s*+\p{L}[.;,…]++\s*+\p{L}[.;]?)++$"
 )
-OPENING = "[(\\[{\"«“-„「-』（]"
+OPENING = "([{\"«“„（「『"
 STOPS = r"[.!?…。！？।؟۔,:;，、；：،\-–—\x{FFFD}\s(“«„\"]++$"
 # marks of the last paragraph by what they do there; what stands in an emoticon or behind a figure opens nothing
 ROLES = [
@@ -112,7 +115,7 @@ def tails(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     raw = df.select(df[id_col].alias("id"), df[text_col].alias("text")).where("text is not null")
     # shortcuts only: no abbreviation is as long, such marks are strong, and nothing is open
     whole = F.right("text", F.lit(9)).rlike(r"(?:[\p{L}\p{M}]{7}[.]|[\p{L}\p{M}]{2}[!?。！？।؟])$")
-    opened = F.col("text").rlike(OPENING)
+    opened = reduce(or_, [F.contains("text", F.lit(ch)) for ch in OPENING])
     cut = _fence(raw, opened=opened).where(F.col("opened") | ~whole).where(~is_empty(F.col("text")))
     # most texts end with a word and its mark: nothing to strip there
     plain = F.right("text", F.lit(8)).rlike(r"[\p{L}\p{M}]{4}[.!?。！？।؟]$")
@@ -150,9 +153,18 @@ def _begun(at: Column) -> Column:
     return F.xxhash64(_back(at, 2), _back(at, 1), F.left(_back(at, 0), F.lit(1)))
 
 
-def _gram(k: int) -> Column:
-    """Hash of the last k tokens w0, w1 .., the last first."""
-    return F.xxhash64(F.lit(k), *[F.col(f"w{i}") for i in range(k)])
+def _grams(df: DataFrame) -> DataFrame:
+    """The rows with a hash g3 .. of their last k tokens w0, w1 .. for each k in LEVELS and CHAR_LEVELS; each goes on from the shorter one."""
+    done, before = 0, F.lit(1)
+    for k in sorted({*LEVELS, *CHAR_LEVELS}):
+        df = df.select("*", F.xxhash64(before, *[f"w{i}" for i in range(done, k)]).alias(f"g{k}"))
+        done, before = k, F.col(f"g{k}")
+    return df
+
+
+def _levels(first: list[Column]) -> Column:
+    """array<bigint>: ``first`` and the hashes of the last token's kind."""
+    return F.when(_is_char(F.col("w0")), F.array(*[f"g{k}" for k in CHAR_LEVELS])).otherwise(F.array(*first, *[f"g{k}" for k in LEVELS]))
 
 
 def _pair() -> Column:
@@ -182,8 +194,7 @@ def truncated(df: DataFrame, id_col: str = "row_id", text_col: str = "text", map
     df = spread(df.select(id_col, text_col))
     last = (F.size("t") - 1).cast("int")
     found = tails(df, id_col, text_col).select("id", "sure", "own", _begun(last).alias("begun"), *[_back(last, k).alias(f"w{k}") for k in range(REACH)])
-    asks = F.when(_is_char(F.col("w0")), F.array(*map(_gram, CHAR_LEVELS))).otherwise(F.array(_pair(), *map(_gram, LEVELS)))
-    asked = settle(found.select(F.monotonically_increasing_id().alias("u"), "id", "sure", "own", F.col("w0").alias("part"), "begun", asks.alias("asks")))
+    asked = settle(_grams(found).select(F.monotonically_increasing_id().alias("u"), "id", "sure", "own", F.col("w0").alias("part"), "begun", _levels([_pair()]).alias("asks")))
     unsure = asked.where("not sure")
     bits = max(12, (MAP_SHARE * unsure.count()).bit_length())
 
@@ -196,14 +207,12 @@ def truncated(df: DataFrame, id_col: str = "row_id", text_col: str = "text", map
     hit = rows.select(F.get("t", at + 1).alias("next"), *[_back(at, k).alias(f"w{k}") for k in range(REACH)]).where("next <> ''")
     # of each place the trigram with its pair, and the longer contexts that are asked for; one shape, so that one exchange
     # serves all counts; a character tells nothing of a word it begins
-    none, end = F.lit(None), (F.col("next") == "¶").alias("end")
-    alone = lambda levels: [F.struct(_gram(k).alias("h"), none.cast("bigint").alias("pair"), none.cast("string").alias("w")) for k in levels]
-    words = F.array(F.struct(_gram(3).alias("h"), _pair().alias("pair"), F.col("w0").alias("w")), *alone(LEVELS[1:]))
-    emits = F.when(_is_char(F.col("w0")), F.array(*alone(CHAR_LEVELS))).otherwise(words)
-    emitted = hit.select(end, F.explode(emits).alias("e")).select("e.h", "e.pair", "e.w", "end").where("h is not null")
+    emitted = _grams(hit).select((F.col("next") == "¶").alias("end"), "w0", "w1", "w2", F.posexplode(_levels([])).alias("k", "h"))
+    first = (F.col("k") == 0) & ~_is_char(F.col("w0"))
     if bits <= map_limit:
         every = unsure.select(F.explode("asks").alias("h"))
-        emitted = emitted.join(F.broadcast(_mapped(every, "h", bits + 2)), _set("h", bits + 2), "left").where("w is not null or word is not null")
+        emitted = emitted.join(F.broadcast(_mapped(every, "h", bits + 2)), _set("h", bits + 2), "left").where(first | F.col("word").isNotNull())
+    emitted = emitted.select("h", F.when(first, _pair()).alias("pair"), F.when(first, F.col("w0")).alias("w"), "end")
     counted = emitted.groupBy("h", "pair", "w").agg(F.count_if("end").alias("ends"), F.count(F.lit(1)).alias("n"))
     none = F.lit(None).cast("string")
     counted = counted.select(F.explode(F.array(F.struct("h", none.alias("w")), F.struct(F.col("pair").alias("h"), "w"))).alias("e"), "ends", "n").select("e.*", "ends", "n").where("h is not null")
