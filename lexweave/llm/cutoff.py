@@ -37,9 +37,9 @@ SUPPORT, ENDS = 3, 0.2
 NEAR = 60
 
 CHARS = r"\x{e01}-\x{e7f}\x{3040}-\x{30ff}\x{3400}-\x{9fff}"
-# one class decides at most characters; what follows is looked at only behind a mark or line break
+# one class decides at most characters, by its ranges; what follows is looked at only behind a mark or line break
 BOUNDARY = (
-    r"[.!?\n\r…。！？।؟۔](?:(?<=[.!?…])[.!?…]*+[\"”“»’')\]*_]*+(?=\s+[\"“«„¿¡(\[*_>•\-]*[\p{Lu}\p{Lo}\p{Nd}]|\s*$)"
+    r"[.!?\n\r[\x{61f}-\x{964}&&[؟۔।]][\x{2026}-\x{ff1f}&&[…。！？]]](?:(?<=[.!?…])[.!?…]*+[\"”“»’')\]*_]*+(?=\s+[\"“«„¿¡(\[*_>•\-]*[\p{Lu}\p{Lo}\p{Nd}]|\s*$)"
     r"|(?<=[\n\r])\s*+|(?<=[。！？।؟۔])[。！？।؟۔]*+[\"”»」』)）*_]*+)"
 )
 # where a script has no marks, a space parts

@@ -130,10 +130,12 @@ _ASK = re.compile(
 )
 _TOKEN = re.compile(r"[一-鿿㐀-䶿぀-ヿーก-๿]|[^\W\d_]+|\d+")
 _CLAUSE = re.compile(r"[;；]|[.!?…]+\s+")
+_FIRST = re.compile(r"(?<=\w)[^\w\s]*(?:[;；。！？।؟]|[.!?…]+\s)")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _SPOKEN = re.compile(r"[^\W_]+(?:[̀-ͯऀ-ःऺ-ॏั-๎]+[^\W_]*)*")
 _JOINED = re.compile("[ก-๿぀-ヿ㐀-鿿]")
-#: The language that a script alone tells.
+#: The languages for which a sign counts as a vote, and those that a script alone tells.
+OF_SIGN = {"ñ": "es", "¿": "es", "¡": "es", "ß": "de", "ä": "de", "ö": "de", "ü": "de", "ã": "pt", "õ": "pt", "ò": "it", "ì": "it", "œ": "fr", "ê": "fr", "û": "fr", "î": "fr"}
 OF_SCRIPT = {"cyrillic": "ru", "arabic": "ar", "devanagari": "hi", "thai": "th"}
 
 
@@ -267,6 +269,9 @@ class Pairs:
                 if len(w) > 1:
                     for lang in self.stop.get(w, ()):
                         out[lang] = out.get(lang, 0) + 1
+            for ch in OF_SIGN.keys() & set(sentence.lower()) if not sentence.isascii() else ():
+                if OF_SIGN[ch] in self.judge.labels:
+                    out[OF_SIGN[ch]] = out.get(OF_SIGN[ch], 0) + 1
             for lang, n in out.items():
                 if n > most:
                     best, most, second = lang, n, most
@@ -298,21 +303,24 @@ class Pairs:
         proof = [p for p in (self.judge.known[prompt[a:b]] for a, b in units(prompt)) if p is not None]
         return self.judge.labels[int(sum(proof).argmax())] if proof else None
 
-    def refuses(self, prompt: str, text: str, first: str) -> bool:
-        """Does every sentence decline, regret, redirect or repeat the prompt, and at least one decline? first: its first sentence."""
-        asked = set(_TOKEN.findall(prompt.lower()))
-        if self._part(asked, _CLAUSE.split(first)[0]) == "answers":
+    def refuses(self, prompt: str, text: str) -> bool:
+        """Does every sentence decline, regret, redirect or repeat the prompt, and at least one decline?"""
+        asked = prompt.lower()
+        m = _FIRST.search(text)
+        if self._part(asked, text[: m.start()] if m else text) == "answers":
             return False
         # a semicolon parts statements as well, and any mark where a text has lost its letter case
         parts = {self._part(asked, c) for a, b in units(text) for c in _CLAUSE.split(text[a:b]) if c}
         return "declines" in parts and "answers" not in parts
 
-    def _part(self, asked: set[str], s: str) -> str:
+    def _part(self, asked: str, s: str) -> str:
         said = says(self.parts, s)
         if declines(said):
             return "declines"
-        evades = said & {"courtesy", "regret"} or all(t in asked for t in _TOKEN.findall(s.lower()) if len(t) > 1)
-        return "evades" if evades else "answers"
+        if said & {"courtesy", "regret"}:
+            return "evades"
+        tokens = [m.group() for m in _TOKEN.finditer(s.lower()) if len(m.group()) > 1]
+        return "evades" if all(t in asked for t in tokens) and set(tokens) <= set(_TOKEN.findall(asked)) else "answers"
 
     def speaks(self, sentence: str, lang: str) -> bool:
         """Is this sentence in that language, by its stopwords and, where they do not tell, by its words?"""
@@ -329,14 +337,13 @@ class Pairs:
         out: list[list[str]] = [[] for _ in rows]
         doubtful: list[tuple[int, str | None]] = []
         for k, (prompt, text) in enumerate(rows):
-            first = next((text[a:b] for a, b in units(text, 1)), "")
             if is_copy(prompt, text):
                 out[k].append("copy")
-            elif self.refuses(prompt, text, first):
+            elif self.refuses(prompt, text):
                 out[k].append("refusal")
             # enough of a beginning in the language asked for holds a sentence in it; all others are read to the end
             lang = self.asked_for(prompt)
-            if lang is None or self.glance(first) != lang and self.glance(text[:BEGINNING]) != lang:
+            if lang is None or self.glance(text[:BEGINNING]) != lang:
                 doubtful.append((k, lang))
         # what neither scripts nor stopwords settle: the model reads the prompts, then the texts
         self.judge.learn([rows[k][0][a:b] for k, lang in doubtful if lang is None for a, b in units(rows[k][0])])
