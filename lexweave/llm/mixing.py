@@ -2,10 +2,11 @@
 
 The size of a mix is cut into equal blocks of tokens, which go one by one to the
 source with the highest Sainte-Lague quotient weight / (2 n + 1) that has not used up
-its repeats; the blocks of a source go to its shards in the same way by their tokens.
-The quotas are a table of a few rows per source and shard, made on the driver.  Within
-a shard texts are taken in seeded hash order until the quota is reached, so even one
-source that holds a third of all rows is split over its shards.
+its repeats.  The texts of a source lie in seeded hash order in shards whose number
+grows with the texts; its quota, a whole number of tokens, is handed to the shards in
+that order: each gives all it has, once more or not, and one, at the edge, gives a
+part.  Only that shard is sorted, and what a shard leaves is never lost, so a source
+misses its quota by half a text at most.
 """
 
 from __future__ import annotations
@@ -16,8 +17,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Blocks of a mix, shards of a source, seed of the selection.
-BLOCKS, SHARDS, SEED = 20_000, 64, 13
+#: Blocks of a mix, texts of a shard, seed of the selection.
+BLOCKS, SHARD_TEXTS, SEED = 20_000, 50_000, 13
 
 
 def sainte_lague(weights: Sequence[float], seats: int, caps: Sequence[int]) -> list[int]:
@@ -35,30 +36,40 @@ def sainte_lague(weights: Sequence[float], seats: int, caps: Sequence[int]) -> l
 
 
 def quotas(targets: Sequence[dict], stock: dict[tuple[str, int], int], blocks: int = BLOCKS) -> list[tuple]:
-    """(mix, source, shard, tokens to take) from targets and the tokens of each (source, shard).
+    """(mix, source, full, edge, rest) from targets and the tokens of each (source, shard).
 
-    A mix is as large as its sources together.  An absent source gets nothing, a small
-    one at most max_repeats times its tokens; what they leave goes to the others.
+    Every text of the source is taken ``full`` times, those of shards before ``edge``
+    once more, and of the shard ``edge`` another ``rest`` tokens.  A mix is as large as
+    its sources together.  An absent source gets nothing, a small one at most max_repeats
+    times its tokens; what they leave goes to the others.
     """
+    have: dict[str, dict[int, int]] = {}
+    for (source, shard), n in stock.items():
+        have.setdefault(source, {})[shard] = n
     rows = []
     for mix in dict.fromkeys(t["mix_name"] for t in targets):
-        own = [t for t in targets if t["mix_name"] == mix]
-        have = [{k: n for (s, k), n in stock.items() if s == t["source"]} for t in own]
-        total = sum(sum(h.values()) for h in have)
+        own = [t for t in targets if t["mix_name"] == mix and t["source"] in have]
+        sizes = [sum(have[t["source"]].values()) for t in own]
+        total = sum(sizes)
         if not total:
             continue
         block = max(1, total // blocks)
-        caps = [sum(h.values()) * (t["max_repeats"] or 0) // block for h, t in zip(have, own)]
+        caps = [n * (t["max_repeats"] or 0) // block for t, n in zip(own, sizes)]
         seats = sainte_lague([t["target_weight"] or 0 for t in own], total // block, caps)
-        for t, h, n in zip(own, have, seats):
-            shards = sorted(h)
-            repeats = t["max_repeats"] or 0
-            share = sainte_lague([h[k] for k in shards], n, [max(1, -(-h[k] * repeats // block)) for k in shards])
-            rows += [(mix, t["source"], k, min(m * block, h[k] * repeats)) for k, m in zip(shards, share) if m]
+        for t, size, n in zip(own, sizes, seats):
+            full, rest = divmod(n * block, size)
+            edge = -1
+            for shard in sorted(have[t["source"]]):
+                edge = shard
+                if have[t["source"]][shard] > rest:
+                    break
+                rest -= have[t["source"]][shard]
+            if n:
+                rows.append((mix, t["source"], full, edge, rest))
     return rows
 
 
-def mix(sizes: DataFrame, targets: DataFrame, id_col: str = "doc_id", source_col: str = "source", seed: int = SEED, shards: int = SHARDS) -> DataFrame:
+def mix(sizes: DataFrame, targets: DataFrame, id_col: str = "doc_id", source_col: str = "source", seed: int = SEED, shard_texts: int = SHARD_TEXTS) -> DataFrame:
     """(mix_name, source, id, tokens, repeats): how often each text is taken; never more than max_repeats.
 
     sizes: (id, source, tokens).  Null sources and texts without a token belong to no
@@ -67,17 +78,20 @@ def mix(sizes: DataFrame, targets: DataFrame, id_col: str = "doc_id", source_col
     spark = sizes.sparkSession
     wanted = [r.asDict() for r in targets.collect()]
     named = sorted({t["source"] for t in wanted if t["source"] is not None})
-    some = sizes.where(F.col(source_col).isin(named) & (F.col("tokens") > 0))
-    cut = some.select(F.col(id_col).alias("__id"), F.col(source_col).alias("source"), "tokens", F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(shards)).cast("int").alias("shard"))
+    some = sizes.where(F.col(source_col).isin(named) & (F.col("tokens") > 0)).select(F.col(id_col).alias("__id"), F.col(source_col).alias("source"), "tokens", F.xxhash64(F.lit(seed), F.col(id_col)).alias("h"))
+    # at most 2 ** 14 shards a source reach the driver, and no fewer than the largest source needs
+    most = some.groupBy("source").count().agg(F.max("count")).first()[0] or 1
+    bits = min(14, max(1, (most // shard_texts).bit_length()))
+    cut = some.withColumn("shard", F.shiftrightunsigned("h", 64 - bits).cast("int"))
     stock = {(r["source"], r["shard"]): r["n"] for r in cut.groupBy("source", "shard").agg(F.sum("tokens").alias("n")).collect()}
-    table = [(*row, stock[row[1], row[2]]) for row in quotas(wanted, stock)]
-    plan = F.broadcast(spark.createDataFrame(table, "mix_name string, source string, shard int, quota bigint, stock bigint"))
-    order = Window.partitionBy("mix_name", "source", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "__id"), "__id").rowsBetween(Window.unboundedPreceding, -1)
-    asked = cut.join(plan, ["source", "shard"]).withColumn("before", F.coalesce(F.sum("tokens").over(order), F.lit(0)))
-    full = F.floor(F.col("quota") / F.col("stock"))
-    rest = F.col("quota") - full * F.col("stock")
-    repeats = full + F.when(F.col("before") + F.col("tokens") / 2 <= rest, 1).otherwise(0)
-    return asked.withColumn("repeats", repeats.cast("bigint")).where("repeats > 0").select("mix_name", "source", F.col("__id").alias(id_col), "tokens", "repeats")
+    plan = F.broadcast(spark.createDataFrame(quotas(wanted, stock), "mix_name string, source string, full bigint, edge int, rest bigint"))
+    asked = cut.join(plan, "source")
+    whole = asked.where("shard <> edge").withColumn("repeats", F.col("full") + (F.col("shard") < F.col("edge")).cast("bigint"))
+    order = Window.partitionBy("mix_name", "source").orderBy("h", "__id", "tokens").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("tokens").over(order), F.lit(0))
+    part = asked.where("shard = edge").withColumn("before", before).withColumn("repeats", F.col("full") + (F.col("before") + F.col("tokens") / 2 <= F.col("rest")).cast("bigint"))
+    taken = whole.unionByName(part.drop("before")).where("repeats > 0")
+    return taken.select("mix_name", "source", F.col("__id").alias(id_col), "tokens", "repeats")
 
 
 def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:

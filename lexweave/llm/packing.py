@@ -5,8 +5,9 @@ capacity and not by the data: for each size, largest first, the exact complement
 the gap is looked up among single sizes, sums of two and sums of three, and the
 combination is consumed as often as the counts allow; only what has no exact
 complement is filled best-fit.  Every step uses up a size, so the plan has a few
-entries per size.  The items are then numbered within their size, in salted shares so
-that a common size is no hot group, and find their container by a join with the plan.
+entries per size.  The items are then numbered within their size, in salted shares whose
+number grows with the items, so that no size is a hot group, and find their container by
+a join with the plan.
 """
 
 from __future__ import annotations
@@ -17,8 +18,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Shares into which each size is split for the numbering.
-SALTS = 64
+#: Items of one share of a size; a common size is numbered in as many shares as it needs.
+SHARE_ITEMS = 50_000
 
 
 def _exact(have: np.ndarray, gap: int) -> tuple[int, ...] | None:
@@ -109,18 +110,22 @@ def items(sizes: DataFrame, specs: DataFrame, id_col: str) -> DataFrame:
     return cut.select("container_name", id_col, "part_no", F.least("capacity", F.col("tokens") - F.col("part_no") * F.col("capacity")).alias("size"))
 
 
-def pack(sizes: DataFrame, specs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def pack(sizes: DataFrame, specs: DataFrame, id_col: str = "doc_id", share_items: int = SHARE_ITEMS) -> DataFrame:
     """(container_name, container_no, place, id, part_no, size): every item in exactly one container of each kind.
 
     sizes: (id, tokens).  Repeated ids are items of their own; an empty table fills nothing.
     """
     spark = sizes.sparkSession
-    all_items = items(sizes, specs, id_col).withColumn("salt", F.pmod(F.xxhash64(id_col, "part_no"), F.lit(SALTS)))
-    counts = all_items.groupBy("container_name", "size", "salt").agg(F.count(F.lit(1)).alias("n"))
+    parts = items(sizes, specs, id_col)
     kinds = {r["container_name"]: (r["capacity_tokens"], r["separator_tokens"]) for r in specs.collect()}
     histogram: dict[str, dict[int, int]] = {name: {} for name in kinds}
-    for r in counts.groupBy("container_name", "size").agg(F.sum("n").alias("n")).collect():
+    for r in parts.groupBy("container_name", "size").agg(F.count(F.lit(1)).alias("n")).collect():
         histogram[r["container_name"]][r["size"]] = r["n"]
+    # a row per size and kind: bounded by the capacities
+    salts = spark.createDataFrame([(name, size, -(-n // share_items)) for name, own in histogram.items() for size, n in own.items()], "container_name string, size bigint, salts bigint")
+    salted = parts.join(F.broadcast(salts), ["container_name", "size"])
+    all_items = salted.withColumn("salt", F.pmod(F.xxhash64(id_col, "part_no"), F.col("salts"))).drop("salts")
+    counts = all_items.groupBy("container_name", "size", "salt").agg(F.count(F.lit(1)).alias("n"))
     slots = [row for name, (capacity, separator) in kinds.items() for row in _slots(name, plan(histogram[name], capacity, separator))]
     # a few rows per size and kind, whatever the data: at most some times the sum of the capacities
     table = spark.createDataFrame(slots, "container_name string, size bigint, lo bigint, hi bigint, base bigint, place int")

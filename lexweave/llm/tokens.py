@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import base64
 import os
 from collections.abc import Iterator
 
@@ -10,23 +9,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexweave.functions.tokenizers import FOLDER, Ranks
 from lexweave.llm.common import settle, spread
 
 #: Folder and file of the vocabulary; every executor must be able to read it.
-TOKENIZERS = os.environ.get("LEXWEAVE_TOKENIZERS", "/opt/tokenizers")
+TOKENIZERS = FOLDER
 VOCABULARY = "byte_bpe_50k.tiktoken"
-# Fixed value: the usual splitting pattern of this byte-level vocabulary.
-PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
-
-
-def encoder(path: str):
-    import tiktoken
-
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-
-
 def token_sizes(df: DataFrame, id_col: str, text_col: str = "text", *others: str, path: str | None = None) -> DataFrame:
     """(id, others, tokens): settled, so that several plans can be made from one tokenization; null texts have 0 tokens."""
     path = path or os.path.join(TOKENIZERS, VOCABULARY)
@@ -35,10 +23,10 @@ def token_sizes(df: DataFrame, id_col: str, text_col: str = "text", *others: str
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in src.select(*kept).schema), "tokens bigint"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoder(path)
+        enc = Ranks(path)
         for pdf in batches:
             out = pdf[kept].copy()
-            out["tokens"] = [len(enc.encode_ordinary(t)) for t in pdf["__text"].tolist()]
+            out["tokens"] = [len(enc.encode(t)) for t in pdf["__text"].tolist()]
             yield out
 
     return settle(spread(src).mapInPandas(run, schema))

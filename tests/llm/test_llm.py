@@ -11,6 +11,7 @@ from lexweave.llm.common import is_empty
 from lexweave.llm.cutoff import share_cut, truncated
 from lexweave.llm.language import Judge, label_names, named, segments
 from lexweave.llm.units import sentence_units, units
+from tests.llm.heldout import ANSWERED, REFUSED
 
 
 def split(text):
@@ -219,3 +220,73 @@ def test_judge_forgets():
     judge.learn(["the house and the man"])
     judge.learn(["der mann und das haus", "x"])
     assert judge.labels[int(judge.known["der mann und das haus"].argmax())] == "de"
+
+
+def test_refusals_of_a_held_out_set():
+    p, asked = pairs.Pairs(crf.fit([], ["de", "en"])), "Tell me of 1200 blue kites."
+    missed = [t for own in REFUSED.values() for t in own if not p.refuses(asked, t)]
+    total = sum(map(len, REFUSED.values()))
+    print(f"recall {1 - len(missed) / total:.3f} of {total}", missed)
+    assert len(missed) <= 0.1 * total
+    assert [t for t in ANSWERED if p.refuses(asked, t)] == []
+
+
+def test_refusals_and_copies_of_any_length():
+    p = pairs.Pairs(crf.fit([], ["de", "en"]))
+    long = "I'm sorry, but I can't write about that. I am unable to help with this request. I must decline. I won't discuss it. I cannot provide a text on this topic. Please consult another source. "
+    assert p.refuses("Write.", long) and p.refuses("Write.", long * 10) and not p.refuses("Write.", long + "The old mill stood by the river.")
+    assert pairs.is_copy("Say a b c d.", "Say a b c d. " * 400) and not pairs.is_copy("Say a b c d.", "Say a b c d. " * 400 + "e")
+
+
+def test_markers_of_any_length(spark):
+    texts = ["[PAD]" * 60, "[PAD]" * 6000 + "x", "null\n" * 500, "*" * 5000]
+    got = [r[0] for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i").select(is_empty(F.col("t"))).collect()]
+    assert got == [True, False, True, True]
+
+
+OPEN = [
+    ("She said it (see the plan (page two) here) and left the room.", False), ("He bought a 5\" pipe for the old well.", False), ("We were late again :( but the party was lovely.", False), ("He wrote, \"Leave now.", True),
+    ("He wrote, \"Leave now. " + "The old mill stood by the river. " * 40, True), ("He wrote, \"Leave now.\" " + "The old mill stood by the river. " * 40, False), ("Il dit : « Partez. Il ne reste personne. »", False), ("Il dit : « Partez.", True),
+    ("Er rief: „Kommt her!“ und ging.", False), ("他写道：“走吧。没有人。", True), ("他写道：“走吧。没有人。”", False), ("a) one\nb) two.", False), ("»Kommt her!«, rief er laut.", False), ("See [the list.", True), ("\"One.\n\nIt was late.\"", False),
+]
+
+
+def test_delimiters(spark):
+    from lexweave.llm.cutoff import tails
+
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(OPEN)], "row_id bigint, text string")
+    got = {r["id"] for r in tails(df, "row_id", "text").where("sure").collect()}
+    assert got == {i for i, (_, cut) in enumerate(OPEN) if cut}
+
+
+def test_decoration_and_contexts_of_any_size(spark):
+    whole = cut_texts()
+    full = whole[0][1]
+    more = [(1000, full[:-30] + "\n" + "* " * 3000), (1001, full + "\n" + "* " * 3000), (1002, full[:-30] + " https://a.example/" + "x" * 900), (1003, "#" * 100_000), (1004, "a." * 50_000)]
+    df = spark.createDataFrame(whole + more, "row_id bigint, text string")
+    assert sorted(r["row_id"] for r in truncated(df).collect() if r["row_id"] < 1003) == [1000, 1002]
+    # without the table of what is asked for every trigram is counted, with the same result
+    assert sorted(r["row_id"] for r in truncated(df, map_limit=0).collect()) == sorted(r["row_id"] for r in truncated(df).collect())
+
+
+def test_levels_need_english_and_known_words(spark):
+    model = crf.fit([], ["de", "en", "es", "zh"])
+    samples = spark.createDataFrame([("the cat sat on the mat", "low"), ("heterogeneity presupposes exogeneity", "high")], "text string, band string")
+    rows = [(1, "The cat sat on the mat and it was his."), (2, "Die Katze lag auf der Matte und sie war nicht allein."), (3, "这里没有已经现在的猫。"), (4, None), (5, "With his they had been."), (1, "The cat sat on the mat and it was his.")]
+    got = sorted((r["row_id"], r["band"]) for r in reading.levels(spark.createDataFrame(rows, "row_id bigint, text string"), samples, model).collect())
+    assert got == [(1, "low"), (1, "low"), (2, None), (3, None), (5, None)]
+
+
+def test_shards_and_shares_grow_with_the_items(spark):
+    rows = [(i, "big" if i % 3 else "small", 1 + i % 40) for i in range(3000)]
+    sizes = spark.createDataFrame(rows, "doc_id bigint, source string, tokens bigint")
+    targets = spark.createDataFrame([("m", "big", 0.5, 1), ("m", "small", 0.5, 2)], "mix_name string, source string, target_weight double, max_repeats int")
+    for texts in (10, 100_000):
+        mixed = mixing.mix(sizes, targets, shard_texts=texts)
+        got = {r["source"]: r["tokens"] for r in mixing.shares(mixed, targets).collect()}
+        assert abs(got["big"] - got["small"]) <= 45 and mixed.groupBy("doc_id").count().where("count > 1").count() == 0
+    specs = spark.createDataFrame([("c", 40, 1)], "container_name string, capacity_tokens int, separator_tokens int")
+    for share in (7, 100_000):
+        packed = packing.pack(sizes, specs, share_items=share)
+        assert packed.select("doc_id").distinct().count() == packed.count() == 3000
+        assert packed.groupBy("container_no").agg((F.sum("size") + F.count("size") - 1).alias("used")).where("used > 40").count() == 0
