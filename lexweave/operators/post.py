@@ -5,12 +5,13 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from lexweave.functions.text import ERROR, bind, order_key, randint, remove_disclosures, remove_special_tokens, strip, words
+from lexweave.functions.text import ERROR, bind, randint, remove_disclosures, remove_special_tokens, strip, words
+from lexweave.operators.sampling import numbered, shuffled
+from lexweave.sources.io import settled
 
 #: Tasks whose labels say where a whole text comes from.
 LABELLED = ("detection", "attribution")
@@ -59,9 +60,19 @@ def clean(df: DataFrame) -> DataFrame:
 
 
 def dedup_texts(df: DataFrame, key: str) -> DataFrame:
-    """Of rows with one text the one with the smallest key; null texts are one text. Pre-aggregated: only keys and hashes move."""
-    first = df.groupBy(F.sha2("text", 256).alias("__h")).agg(F.min(key).alias(key))
-    return df.join(first.select(key), key, "left_semi")
+    """Of rows with one text the one with the smallest key, which may recur in other texts; null texts are one text.
+
+    One aggregate by hash, combined before the shuffle, so that a text that recurs is one row a task.
+    """
+    return one_per_text(df, key)
+
+
+def one_per_text(df: DataFrame, key: str, apart: bool = False) -> DataFrame:
+    """dedup_texts; with ``apart`` only of texts that have one label: texts of several labels, of none, and null texts go."""
+    row, order = F.struct(*df.columns), F.struct(F.col(key).isNull(), F.col(key), *[c for c in ("label", "domain") if c in df.columns and apart])
+    told = [F.min("label").alias("a"), F.max("label").alias("b")] if apart else []
+    kept = (df.where("text is not null") if apart else df).groupBy(F.sha2("text", 256).alias("__h")).agg(F.min_by(row, order).alias("r"), *told)
+    return (kept.where("a = b") if apart else kept).select("r.*")
 
 
 def drop_label_conflicts(df: DataFrame) -> DataFrame:
@@ -70,29 +81,38 @@ def drop_label_conflicts(df: DataFrame) -> DataFrame:
     return df.withColumn("__h", F.sha2("text", 256)).join(one, "__h", "left_semi").drop("__h")
 
 
+def lengths(df: DataFrame, key: str, domain: str = "domain", label: str = "label", least: int = 5, cut: int = 2, radius: float = 2.0, compat: bool = False, seed: int = 0) -> DataFrame:
+    """(key, new_len): to how many words truncate() cuts each row that it keeps. Only keys and lengths are moved."""
+    rows = df.where(F.col(domain).isNotNull() & F.col(label).isNotNull() & F.col("text").isNotNull()).select(F.col(key), F.col(domain).alias("d"), F.col(label).cast("string").alias("l"), F.size(words(F.col("text"))).alias("n"))
+    rarest = rows.groupBy("d", "l").count().groupBy("d").agg(F.min("count").alias("most"))
+    with_most = shuffled(rows, ["d", "l"], key, seed, "rn").join(rarest, "d")
+    ranked = numbered(with_most.where("rn <= most"), ["d", "l"], F.col("n"), ["n", key], "g")
+    shortest = ranked.groupBy("d", "g").agg((F.min("n") - cut).alias("new_len")).where(F.col("new_len") >= least)
+    balanced = ranked.join(shortest, ["d", "g"])
+    done = balanced.select(key, "new_len")
+    if not compat:
+        stats = balanced.groupBy("d").agg(F.avg("new_len").alias("mu"), F.coalesce(F.stddev_samp("new_len"), F.lit(0.0)).alias("sd"))
+        low = F.greatest(F.lit(least), (F.col("mu") - radius * F.col("sd")).cast("int"))
+        high = F.greatest(low + 1, (F.col("mu") + radius * F.col("sd")).cast("int"))
+        rest = with_most.where("rn > most").join(stats, "d").withColumn("new_len", F.least(F.col("n") - cut, randint(seed + 1, low, high - 1, F.col(key)))).where(F.col("new_len") >= least)
+        done = done.unionByName(rest.select(key, "new_len"))
+    return done
+
+
 def truncate(df: DataFrame, key: str, domain: str = "domain", label: str = "label", least: int = 5, cut: int = 2, radius: float = 2.0, compat: bool = False, seed: int = 0) -> DataFrame:
     """(key, new_len, text): texts cut so that the labels of a domain have the same lengths.
 
     Per domain as many rows of each label as the rarest has, ranked by length; rows of
     one rank get their least length minus ``cut``, at least ``least`` words or they go.
     The rows beyond get a length within mean +- radius * deviation of those; with
-    ``compat`` they go.  Null domains, labels and texts take no part.
+    ``compat`` they go.  Null domains, labels and texts take no part.  The key must be unique.
     """
-    rows = df.where(F.col(domain).isNotNull() & F.col(label).isNotNull() & F.col("text").isNotNull()).select(F.col(key), F.col(domain).alias("d"), F.col(label).cast("string").alias("l"), words(F.col("text")).alias("w"))
-    rows = rows.withColumn("n", F.size("w"))
-    rarest = rows.groupBy("d", "l").count().groupBy("d").agg(F.min("count").alias("most"))
-    drawn = Window.partitionBy("d", "l").orderBy(order_key(seed, F.col(key)), key)
-    with_most = rows.join(rarest, "d").withColumn("rn", F.row_number().over(drawn))
-    rank = F.row_number().over(Window.partitionBy("d", "l").orderBy("n", key))
-    balanced = with_most.where("rn <= most").withColumn("g", rank).withColumn("new_len", F.min("n").over(Window.partitionBy("d", "g")) - cut).where(F.col("new_len") >= least)
-    done = balanced.select(key, "d", "new_len", "w")
-    if not compat:
-        stats = balanced.groupBy("d").agg(F.avg("new_len").alias("mu"), F.coalesce(F.stddev_samp("new_len"), F.lit(0.0)).alias("sd"))
-        low = F.greatest(F.lit(least), (F.col("mu") - radius * F.col("sd")).cast("int"))
-        high = F.greatest(low + 1, (F.col("mu") + radius * F.col("sd")).cast("int"))
-        rest = with_most.where("rn > most").join(stats, "d").withColumn("new_len", F.least(F.col("n") - cut, randint(seed + 1, low, high - 1, F.col(key)))).where(F.col("new_len") >= least)
-        done = done.unionByName(rest.select(key, "d", "new_len", "w"))
-    return done.select(key, "new_len", F.array_join(F.slice("w", 1, F.col("new_len")), "").alias("text"))
+    return df.select(key, "text").join(lengths(df, key, domain, label, least, cut, radius, compat, seed), key).select(key, "new_len", shortened())
+
+
+def shortened() -> Column:
+    """The first new_len words of text."""
+    return F.array_join(F.slice(words(F.col("text")), 1, F.col("new_len")), "").alias("text")
 
 
 def postprocess(df: DataFrame, key: str, task: str | None = None) -> DataFrame:
@@ -100,15 +120,15 @@ def postprocess(df: DataFrame, key: str, task: str | None = None) -> DataFrame:
 
     Lengths are balanced for detection and attribution, where labels name the origin of
     whole texts, if there are two labels or more and ``domain``; texts of no domain are
-    balanced among themselves.  Conflicting labels are looked for before repeated texts
-    go, or none would be left; positions and spans as labels are not in conflict.
-    Texts of mixcase come cleaned, as their spans count code points.  Without a task
-    lengths stay and conflicts go.  The key must be unique.
+    balanced among themselves.  Conflicting labels and repeated texts are found in one
+    aggregate; positions and spans as labels are not in conflict.  Texts of mixcase come
+    cleaned, as their spans count code points.  Without a task lengths stay and conflicts
+    go.  The key must be unique where lengths are balanced; else it may recur.
     """
     out = df if task == "mixcase" else clean(df)
     if task in LABELLED and df.where("label is not null").select("label").distinct().limit(2).count() == 2:
-        out = out.withColumn("__domain", F.coalesce(F.col("domain"), F.lit("\0"))).persist(StorageLevel.MEMORY_AND_DISK)
-        cut = truncate(out, key, "__domain").select(key, "text")
-        out = out.drop("text", "__domain").join(cut, key).select(*df.columns).persist(StorageLevel.MEMORY_AND_DISK)
-    out = drop_empty(drop_errors(out))
-    return dedup_texts(drop_label_conflicts(out) if task is None or task in LABELLED else out, key)
+        # the texts are cleaned once, and meet their lengths in one join
+        out = settled(out.withColumn("__domain", F.coalesce(F.col("domain"), F.lit("\0"))))
+        cut = out.drop("__domain").join(lengths(out, key, "__domain"), key)
+        out = cut.select(*[shortened() if c == "text" else c for c in df.columns])
+    return one_per_text(drop_empty(drop_errors(out)), key, apart=task is None or task in LABELLED)

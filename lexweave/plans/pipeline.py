@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,7 +12,7 @@ from lexweave.functions import text as T
 from lexweave.operators import extract as X
 from lexweave.operators import learn, pack, post, sampling, stats
 from lexweave.operators.generate import generate, length_parameters
-from lexweave.sources.io import Config, cached, concatenate, save
+from lexweave.sources.io import Config, cached, concatenate, save, settled
 
 ID = "row_idx"
 
@@ -61,14 +60,6 @@ def X_nouns(df: DataFrame, text: str) -> DataFrame:
     return learn.nouns(df, ID, text)
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """The rows written once: a provider need not answer the same again."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lexweave-"))
-    return df.checkpoint()
-
-
 def mixed_inputs(df: DataFrame, config: Config, key: str) -> DataFrame:
     """(key, pos, placeholders ...) of an extractor that makes rows; those of masks have spans and positions as well."""
     name = config.extractor

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import tempfile
 from dataclasses import asdict, dataclass, field
 from functools import reduce
 from pathlib import Path
@@ -104,19 +105,36 @@ def load_corpus(spark: SparkSession, path: str, split: str | None = None, kind:
     return df.where(df["split"] == split) if split is not None else df
 
 
-def cache_root() -> str:
-    return os.environ.get("LEXWEAVE_CACHE_DIR", "/tmp/lexweave-cache")
+def settled(df: DataFrame) -> DataFrame:
+    """The rows written once to the folder all executors share: nothing is computed twice, or asked of a provider again."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        shared = sc.getConf().get("spark.checkpoint.dir")
+        if shared is None and sc.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="lexweave-"))
+    return df.checkpoint()
+
+
+def cache_root(spark: SparkSession) -> str:
+    """LEXWEAVE_CACHE_DIR, else a folder of the machine, which only a local master may use."""
+    root = os.environ.get("LEXWEAVE_CACHE_DIR")
+    if root is None and spark.sparkContext.master.split("[")[0] != "local":
+        raise RuntimeError("set LEXWEAVE_CACHE_DIR to a folder that all executors share")
+    return root or "/tmp/lexweave-cache"
 
 
 def cached(spark: SparkSession, config: Config, run: str, root: str | None = None) -> DataFrame | None:
-    """The table that a finished run of this configuration left, or none."""
-    at = Path(root or cache_root(), run, config.key())
-    return spark.read.parquet(str(at)) if (at / "_SUCCESS").exists() else None
+    """The table that a finished run of this configuration left, or none; looked up in the file system of the path."""
+    at = "/".join([root or cache_root(spark), run, config.key()])
+    jvm, hadoop = spark._jvm, spark._jsc.hadoopConfiguration()
+    mark = jvm.org.apache.hadoop.fs.Path(f"{at}/_SUCCESS")
+    return spark.read.parquet(at) if mark.getFileSystem(hadoop).exists(mark) else None
 
 
 def save(df: DataFrame, config: Config, run: str, root: str | None = None) -> DataFrame:
     """Write a built table under its key and read it back, so that nothing generated is generated twice."""
-    at = str(Path(root or cache_root(), run, config.key()))
+    at = "/".join([root or cache_root(df.sparkSession), run, config.key()])
     df.write.mode("overwrite").parquet(at)
     return df.sparkSession.read.parquet(at)
 
