@@ -214,6 +214,15 @@ def examples_random(spark, d):
     return X.examples_random(read(spark, d, "documents"), "doc_id", "text")
 
 
+@query(f"""WITH e AS (SELECT doc_id AS example_id, row_number() OVER (ORDER BY md5('13:' || doc_id), doc_id) - 1 AS place FROM documents WHERE text IS NOT NULL), n AS (SELECT count(*) AS c FROM e),
+w AS (SELECT doc_id, CAST(floor({_u(14, 'doc_id', '1')} * c) AS BIGINT) AS a, CAST(floor({_u(14, 'doc_id', '2')} * (c - 1)) AS BIGINT) AS b FROM documents, n),
+g AS (SELECT doc_id, CAST(1 AS INTEGER) AS example_no, a AS place FROM w UNION ALL SELECT doc_id, CAST(2 AS INTEGER), CASE WHEN b >= a THEN b + 1 ELSE b END FROM w)
+SELECT doc_id, example_no, example_id FROM g JOIN e USING (place)""")
+def examples_drawn(spark, d):
+    """Two different texts for each row, each drawn from all texts."""
+    return X.examples_random(read(spark, d, "documents"), "doc_id", "text")
+
+
 @query()
 def entity_list(spark, d):
     return L.entities(read(spark, d, "documents"), "doc_id", "text")
@@ -359,6 +368,61 @@ def postprocess_full(spark, d):
     return C.postprocess(read(spark, d, "generated_dataset").select("row_id", "label", "domain", "text"), "row_id", "detection").select("row_id", "text")
 
 
+_PACKED = f"""{_PROMPTED}, p0 AS (SELECT doc_id, suffix AS text, 'human' AS label FROM g UNION ALL SELECT doc_id, generation, 'generated' FROM g)"""
+
+
+def _packed(spark, d):
+    """Detection rows with a domain; the two rows of a document share its id."""
+    return detection_build(spark, d).select("doc_id", "text", "label", F.lit("all").alias("domain"))
+
+
+@query(f"{_PACKED} SELECT min(doc_id) AS doc_id, sha256(text) AS hash FROM p0 GROUP BY 2")
+def dedup_packed(spark, d):
+    return C.dedup_texts(_packed(spark, d), "doc_id").select("doc_id", F.sha2("text", 256).alias("hash"))
+
+
+# What Windows-1252 holds from 0x80 to 0x9f, and its bytes.
+_CP1252 = "€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ", "8082838485868788898A8B8C8E9192939495969798999A9B9C9E9F"
+
+
+def _reread(x: str, high: str) -> str:
+    """Text whose UTF-8 was read in a code page; ``high`` gives the byte of a sign c above 127."""
+    byte = f"CASE WHEN unicode(c) < 128 THEN printf('%02X', unicode(c)) ELSE {high} END"
+    again = f"TRY(decode(unhex(array_to_string(list_transform(regexp_extract_all({x}, '(?s).'), lambda c: {byte}), ''))))"
+    return f"CASE WHEN regexp_matches({x}, '[ÃÂâð]') THEN coalesce({again}, {x}) ELSE {x} END"
+
+
+_HIGH1252 = f"CASE WHEN unicode(c) BETWEEN 160 AND 255 THEN printf('%02X', unicode(c)) WHEN strpos('{_CP1252[0]}', c) > 0 THEN substr('{_CP1252[1]}', CAST(2 * strpos('{_CP1252[0]}', c) - 1 AS BIGINT), 2) ELSE 'ZZ' END"
+_LATIN1 = "CASE WHEN unicode(c) < 256 THEN printf('%02X', unicode(c)) ELSE 'ZZ' END"
+_LT = "CASE WHEN contains(t, '<') THEN t ELSE replace(t, '&lt;', '<') END"
+_REST = "nfc_normalize(replace(replace(replace(replace(replace(t, '&gt;', '>'), '&quot;', '\"'), '&#39;', chr(39)), chr(13) || chr(10), chr(10)), chr(13), chr(10)))"
+
+
+@query(f"""{_PACKED}, f1 AS (SELECT doc_id * 2 + CAST(label = 'generated' AS BIGINT) AS row_id, label, text AS t FROM p0), f2 AS (SELECT row_id, label, {_reread('t', _HIGH1252)} AS t FROM f1), f3 AS (SELECT row_id, label, {_reread('t', _LATIN1)} AS t FROM f2),
+f4 AS (SELECT row_id, label, replace(t, '&amp;', '&') AS t FROM f3), f5 AS (SELECT row_id, label, {_LT} AS t FROM f4), f6 AS (SELECT row_id, label, {_REST} AS t FROM f5),
+c1 AS (SELECT row_id, label, regexp_replace({_strip('t')}, '{SPECIAL}', '', 'g') AS t0 FROM f6), c2 AS (SELECT row_id, label, {_disclosure('t0')} AS text FROM c1),
+r AS (SELECT row_id, 'all' AS d, label AS l, {_words('text')} AS w, len({_words('text')}) AS n FROM c2 WHERE text IS NOT NULL),
+m AS (SELECT d, min(c) AS most FROM (SELECT d, l, count(*) AS c FROM r GROUP BY 1, 2) GROUP BY d),
+s AS (SELECT r.*, most, row_number() OVER (PARTITION BY d, l ORDER BY md5('0:' || row_id), row_id) AS rn FROM r JOIN m USING (d)),
+b AS (SELECT *, row_number() OVER (PARTITION BY d, l ORDER BY n, row_id) AS g FROM s WHERE rn <= most),
+t AS (SELECT row_id, d, l, w, min(n) OVER (PARTITION BY d, g) - 2 AS new_len FROM b), u AS (SELECT * FROM t WHERE new_len >= 5),
+st AS (SELECT d, avg(new_len) AS mu, coalesce(stddev_samp(new_len), 0) AS sd FROM u GROUP BY d),
+lo AS (SELECT d, greatest(5, CAST(trunc(mu - 2.0 * sd) AS INTEGER)) AS low, CAST(trunc(mu + 2.0 * sd) AS INTEGER) AS hi0 FROM st),
+x AS (SELECT row_id, l, w, least(n - 2, {_ri(1, 'low', 'greatest(low + 1, hi0) - 1', 'row_id')}) AS new_len FROM s JOIN lo USING (d) WHERE rn > most),
+y AS (SELECT row_id, l, array_to_string(w[1:new_len], '') AS text FROM u UNION ALL SELECT row_id, l, array_to_string(w[1:new_len], '') FROM x WHERE new_len >= 5),
+z AS (SELECT * FROM y WHERE text <> '<error>' AND text <> '')
+SELECT min(row_id) AS row_id, text FROM z WHERE text IN (SELECT text FROM z GROUP BY text HAVING count(DISTINCT l) = 1) GROUP BY text""")
+def postprocess_packed(spark, d):
+    """All steps: encoding, cleaning, lengths, errors, empty texts, conflicting labels, repeated texts."""
+    rows = _packed(spark, d).withColumn("row_id", F.col("doc_id") * 2 + (F.col("label") == "generated").cast("bigint"))
+    return C.postprocess(rows.drop("doc_id"), "row_id", "detection").select("row_id", "text")
+
+
+@query("SELECT min(row_id) AS row_id, text FROM generated_dataset WHERE text IS NOT NULL GROUP BY text HAVING count(DISTINCT label) = 1")
+def one_per_text(spark, d):
+    return C.one_per_text(read(spark, d, "generated_dataset"), "row_id", apart=True).select("row_id", "text")
+
+
 @query()
 def language_filter(spark, d):
     return L.filter_language(read(spark, d, "documents"), "text", "en").select("doc_id")
