@@ -64,6 +64,23 @@ def classification_report(df: DataFrame, truth: Column, guess: Column) -> DataFr
     return sums.select("label", F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(ratio(2 * p * r, p + r), 6).alias("f1"), "support")
 
 
+def classification_summary(df: DataFrame, truth: Column, guess: Column) -> DataFrame:
+    """(average, precision, recall, f1, support): over all rows (accuracy, in all three), the mean of the labels (macro), and by their support (weighted)."""
+    each = classification_report(df, truth, guess)
+    hit = F.sum(F.col("recall") * F.col("support"))
+    scores = ["precision", "recall", "f1"]
+    all_rows = each.agg((hit / F.sum("support")).alias("accuracy"), F.sum("support").alias("support"), *[F.avg(c).alias(f"m_{c}") for c in scores], *[(F.sum(F.col(c) * F.col("support")) / F.sum("support")).alias(f"w_{c}") for c in scores])
+    kinds = {"accuracy": ["accuracy"] * 3, "macro": [f"m_{c}" for c in scores], "weighted": [f"w_{c}" for c in scores]}
+    rows = F.array(*[F.struct(F.lit(k).alias("average"), *[F.round(F.col(c), 5).alias(n) for c, n in zip(cs, scores)], F.col("support")) for k, cs in kinds.items()])
+    return all_rows.select(F.explode(rows).alias("r")).select("r.*").where("support > 0")
+
+
+def over_folds(reports: DataFrame, by: list[str], scores: list[str], fold: str = "fold") -> DataFrame:
+    """(by, <score>_mean, <score>_std, folds): mean and sample deviation of the scores of all folds; one fold deviates by 0."""
+    cols = [c for s in scores for c in (F.round(F.avg(s), 5).alias(f"{s}_mean"), F.round(F.coalesce(F.stddev_samp(s), F.lit(0.0)), 5).alias(f"{s}_std"))]
+    return reports.groupBy(*by).agg(*cols, F.count_distinct(fold).alias("folds"))
+
+
 def boundary_tags(df: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
     """(id, token_no, tag): 0 for a token that ends within the human prefix, 1 beyond."""
     return _tokens(df, id_col, text_col, [label_col]).where(F.col(label_col).isNotNull()).select(id_col, "token_no", F.when(F.col("tok_end") <= F.col(label_col), 0).otherwise(1).alias("tag"))

@@ -502,6 +502,32 @@ def classification_report(spark, d):
     return M.classification_report(read(spark, d, "generated_dataset"), F.col("label"), F.when(F.col("model") == "human", "human").otherwise("generated"))
 
 
+_REPORT = """r0 AS (SELECT t AS label, fold FROM d UNION SELECT p, fold FROM d), c AS (SELECT r0.label, r0.fold, count(*) FILTER (t = label) AS support, count(*) FILTER (p = label) AS said, count(*) FILTER (t = label AND p = label) AS hit FROM r0 JOIN d USING (fold) GROUP BY r0.label, r0.fold),
+s AS (SELECT label, fold, support, CASE WHEN said > 0 THEN hit / said ELSE 0.0 END AS p, CASE WHEN support > 0 THEN hit / support ELSE 0.0 END AS r FROM c),
+e AS (SELECT label, fold, support, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END, 6) AS f1 FROM s)"""
+_GUESSED = "SELECT label AS t, CASE WHEN model = 'human' THEN 'human' ELSE 'generated' END AS p"
+
+
+@query(f"""WITH d AS ({_GUESSED}, 0 AS fold FROM generated_dataset WHERE label IS NOT NULL), {_REPORT}
+SELECT 'accuracy' AS average, round(sum(recall * support) / sum(support), 5) AS precision, round(sum(recall * support) / sum(support), 5) AS recall, round(sum(recall * support) / sum(support), 5) AS f1, CAST(sum(support) AS BIGINT) AS support FROM e
+UNION ALL SELECT 'macro', round(avg(precision), 5), round(avg(recall), 5), round(avg(f1), 5), CAST(sum(support) AS BIGINT) FROM e
+UNION ALL SELECT 'weighted', round(sum(precision * support) / sum(support), 5), round(sum(recall * support) / sum(support), 5), round(sum(f1 * support) / sum(support), 5), CAST(sum(support) AS BIGINT) FROM e""")
+def classification_summary(spark, d):
+    return M.classification_summary(read(spark, d, "generated_dataset"), F.col("label"), F.when(F.col("model") == "human", "human").otherwise("generated"))
+
+
+@query(f"""WITH k AS (SELECT *, CAST((row_number() OVER (PARTITION BY label ORDER BY md5('13:' || row_id), row_id) - 1) % 5 AS INTEGER) AS fold FROM generated_dataset WHERE label IS NOT NULL), d AS ({_GUESSED}, fold FROM k), {_REPORT}
+SELECT label, round(avg(precision), 5) AS precision_mean, round(coalesce(stddev_samp(precision), 0), 5) AS precision_std, round(avg(recall), 5) AS recall_mean, round(coalesce(stddev_samp(recall), 0), 5) AS recall_std, round(avg(f1), 5) AS f1_mean, round(coalesce(stddev_samp(f1), 0), 5) AS f1_std, count(DISTINCT fold) AS folds FROM e GROUP BY label""")
+def fold_scores(spark, d):
+    rows = S.folds(read(spark, d, "generated_dataset").where("label is not null").select("row_id", "label", "model"), "label", "row_id")
+    guess = F.when(F.col("model") == "human", "human").otherwise("generated")
+    reports = [M.classification_report(rows.where(F.col("fold") == k), F.col("label"), guess).withColumn("fold", F.lit(k)) for k in range(5)]
+    both = reports[0]
+    for r in reports[1:]:
+        both = both.unionByName(r)
+    return M.over_folds(both, ["label"], ["precision", "recall", "f1"])
+
+
 _TOKS = r"""a AS (SELECT row_id, lab, unnest(generate_series(1, len(p))) AS i, p FROM (SELECT row_id, lab, regexp_extract_all(text, '[^ \t\n\r\f]+|[ \t\n\r\f]+') AS p FROM src)),
 o AS (SELECT row_id, lab, i, p[i] AS tok, sum(length(p[i])) OVER (PARTITION BY row_id ORDER BY i) AS en FROM a),
 t AS (SELECT row_id, lab, en, en - length(tok) AS st, row_number() OVER (PARTITION BY row_id ORDER BY i) AS token_no FROM o WHERE NOT regexp_matches(tok, '^[ \t\n\r\f]'))"""
