@@ -69,7 +69,7 @@ def dedup_texts(df: DataFrame, key: str) -> DataFrame:
 
 def one_per_text(df: DataFrame, key: str, apart: bool = False) -> DataFrame:
     """dedup_texts; with ``apart`` only of texts that have one label: texts of several labels, of none, and null texts go."""
-    row, order = F.struct(*df.columns), F.struct(F.col(key).isNull(), F.col(key), *[c for c in ("label", "domain") if c in df.columns and apart])
+    row, order = F.struct(*df.columns), F.struct(F.col(key).isNull(), F.col(key), F.xxhash64(*[c for c in df.columns if c not in (key, "text")]))
     told = [F.min("label").alias("a"), F.max("label").alias("b")] if apart else []
     kept = (df.where("text is not null") if apart else df).groupBy(F.sha2("text", 256).alias("__h")).agg(F.min_by(row, order).alias("r"), *told)
     return (kept.where("a = b") if apart else kept).select("r.*")
