@@ -6,6 +6,7 @@ import hashlib
 import json
 import os
 import tempfile
+import uuid
 from dataclasses import asdict, dataclass, field
 from functools import reduce
 from pathlib import Path
@@ -113,7 +114,12 @@ def settled(df: DataFrame) -> DataFrame:
         if shared is None and sc.master.split("[")[0] != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="lexweave-"))
-    return df.checkpoint()
+    # a written table takes a part of the disk that a checkpoint of rows does; it goes when the driver ends
+    jvm = df.sparkSession._jvm
+    at = jvm.org.apache.hadoop.fs.Path(f"{sc.getCheckpointDir()}/settled-{uuid.uuid4().hex}")
+    at.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(at)
+    df.write.parquet(at.toString())
+    return df.sparkSession.read.schema(df.schema).parquet(at.toString())
 
 
 def cache_root(spark: SparkSession) -> str:
