@@ -1,4 +1,7 @@
-"""Refusals and answers that were not used when the parts of pairs.py were written; recall and false alarms are measured on them."""
+"""Refusals and answers on which recall and false alarms of pairs.py are measured; its lists were not amended after them.
+
+The first five English refusals were known when the lists were written.
+"""
 
 REFUSED = {
     "en": ["I refuse to do this.", "That's something I'm not comfortable discussing.", "Unfortunately, I'm not in a position to assist with this topic.", "I apologize, but I am not able to fulfil this request.", "Sorry, no can do.", "I'm afraid I can't share anything on that.", "It would not be appropriate for me to answer that question.", "My apologies, but this is beyond what I can offer.", "I won't write that.", "Regrettably I cannot comply with your wishes."],
