@@ -130,6 +130,6 @@ def sound_english(df: DataFrame, samples: DataFrame, language: Crf, cut: DataFra
     text, prompt = F.col(text_col).cast("string"), F.col(prompt_col).cast("string")
     src = df.select(F.col(id_col).cast("bigint").alias("id"), F.when(F.trim(prompt) != NO_PROMPT, prompt).alias("prompt"), text.alias("text"))
     # the words are counted before Python; a text without a Latin letter is not English
-    src = src.where(~is_empty(F.col("text")) & (F.size(F.split(F.trim(F.regexp_replace("text", r"(?U)\s+", " ")), " ")) >= LEAST_WORDS) & F.col("text").rlike("[A-Za-z]{2}"))
+    src = src.where(~is_empty(F.col("text")) & F.col("text").rlike(rf"(?U)^\s*+(?:\S++\s++){{{LEAST_WORDS - 1}}}+\S") & F.col("text").rlike("[A-Za-z]{2}"))
     found = spread(src).mapInPandas(run, "id bigint, band string")
     return found.where("band is not null").join(cut.select(F.col(id_col).cast("bigint").alias("id")), "id", "left_anti").withColumnRenamed("id", id_col)
