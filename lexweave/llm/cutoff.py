@@ -5,7 +5,9 @@ where a sentence, line or text ends.  The final trigram of each text that has no
 proper end is joined with these counts: one that is frequent inside texts but almost
 never ends a sentence marks a cut.  Trigrams that do both are decided by the longest
 context that is known, and a last word that is no word by the words that follow the
-same pair elsewhere.  Scripts without spaces count by character.
+same pair elsewhere.  Scripts without spaces count by character.  Where a text in
+question stops is no proof of an end: those places are taken off all counts, so that
+copies of a cut text, or other texts cut at the same place, do not vouch for it.
 
 Plan: one pass over the ends of the texts finds those in question; the beginnings of
 their final trigrams set bits in a table that is sized by their number.  It is
@@ -111,7 +113,7 @@ def _bare(text: Column) -> Column:
 
 
 def tails(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, sure, own, t) of the texts that may be cut: t, their tokens up to the break; sure: cut beyond doubt; own: an end for those who count."""
+    """(id, sure, seen, t) of the texts that may be cut: t, their tokens up to the break; sure: cut beyond doubt; seen: what those who count see behind the break."""
     raw = df.select(df[id_col].alias("id"), df[text_col].alias("text")).where("text is not null")
     # shortcuts only: no abbreviation is as long, such marks are strong, and nothing is open
     whole = F.right("text", F.lit(9)).rlike(r"(?:[\p{L}\p{M}]{7}[.]|[\p{L}\p{M}]{2}[!?。！？।؟])$")
@@ -132,7 +134,11 @@ def tails(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     left = left.where("sure or not strong").withColumn("lettered", F.element_at(F.split("bare", "\n"), -1).rlike(r"\p{L}"))
     asked = _fence(left.where("sure or (not strong and lettered)").select("id", "sure", "text", F.regexp_replace(F.regexp_replace(F.regexp_replace("bare", STOPS, ""), DECORATION, ""), STOPS, "").alias("core")))
     behind = F.substring(F.col("text"), F.length("core") + 1, F.length("text"))
-    t = _fence(asked.select("id", "sure", behind.rlike(r"[\n\r.!?…。！？।؟۔]").alias("own"), F.filter(tokens(F.col("core")), lambda w: w != "").alias("t")))
+    # the last token as it begins there, with what follows; null where it goes on in another way, and is another token
+    stem = F.when(F.right("core", F.lit(1)).rlike(r"[\p{L}\p{M}\p{Nd}]"), F.right("core", F.lit(1))).otherwise("x")
+    seen = _fence(asked.select("id", "sure", "core", stem.alias("stem"), tokens(F.concat(stem, behind)).alias("b")))
+    seen = seen.select("id", "sure", "core", F.when(F.get("b", F.lit(1)) == F.lower("stem"), F.get("b", F.lit(2))).alias("seen"))
+    t = _fence(seen.select("id", "sure", "seen", F.filter(tokens(F.col("core")), lambda w: w != "").alias("t")))
     return t.where(F.element_at("t", -1) != "¶")
 
 
@@ -189,12 +195,13 @@ def truncated(df: DataFrame, id_col: str = "row_id", text_col: str = "text", map
     """(id): the rows whose text breaks off inside a sentence or word, whatever stands after the break.
 
     Empty texts (null, blank, markers, bare announcements) are no cases.  Repeated rows
-    are judged each for itself, an empty table gives none, other columns are not read.
+    are judged each for itself, and none by where another in question stops; an empty
+    table gives none, other columns are not read.
     """
     df = spread(df.select(id_col, text_col))
     last = (F.size("t") - 1).cast("int")
-    found = tails(df, id_col, text_col).select("id", "sure", "own", _begun(last).alias("begun"), *[_back(last, k).alias(f"w{k}") for k in range(REACH)])
-    asked = settle(_grams(found).select(F.monotonically_increasing_id().alias("u"), "id", "sure", "own", F.col("w0").alias("part"), "begun", _levels([_pair()]).alias("asks")))
+    found = tails(df, id_col, text_col).select("id", "sure", "seen", _begun(last).alias("begun"), *[_back(last, k).alias(f"w{k}") for k in range(REACH)])
+    asked = settle(_grams(found).select(F.monotonically_increasing_id().alias("u"), "id", "sure", "seen", F.col("w0").alias("part"), "begun", _levels([_pair()]).alias("asks")))
     unsure = asked.where("not sure")
     bits = max(12, (MAP_SHARE * unsure.count()).bit_length())
 
@@ -212,18 +219,22 @@ def truncated(df: DataFrame, id_col: str = "row_id", text_col: str = "text", map
     if bits <= map_limit:
         every = unsure.select(F.explode("asks").alias("h"))
         emitted = emitted.join(F.broadcast(_mapped(every, "h", bits + 2)), _set("h", bits + 2), "left").where(first | F.col("word").isNotNull())
-    emitted = emitted.select("h", F.when(first, _pair()).alias("pair"), F.when(first, F.col("w0")).alias("w"), "end")
-    counted = emitted.groupBy("h", "pair", "w").agg(F.count_if("end").alias("ends"), F.count(F.lit(1)).alias("n"))
+    emitted = emitted.select("h", F.when(first, _pair()).alias("pair"), F.when(first, F.col("w0")).alias("w"), F.col("end").cast("bigint").alias("ends"), F.lit(1).cast("bigint").alias("n"))
+    # the places where texts in question stop, in the same shape, taken off
+    stops = asked.where("seen <> ''").select("asks", "part", (F.col("seen") == "¶").cast("bigint").alias("end"), _is_char(F.col("part")).alias("char"))
+    stops = stops.select("asks", "part", "end", "char", F.explode(F.when(F.col("char"), F.col("asks")).otherwise(F.slice("asks", 2, len(LEVELS)))).alias("h"))
+    third = ~F.col("char") & (F.col("h") == F.get("asks", F.lit(1)))
+    emitted = emitted.unionByName(stops.select("h", F.when(third, F.get("asks", F.lit(0))).alias("pair"), F.when(third, F.col("part")).alias("w"), (-F.col("end")).alias("ends"), F.lit(-1).cast("bigint").alias("n")))
+    counted = emitted.groupBy("h", "pair", "w").agg(F.sum("ends").alias("ends"), F.sum("n").alias("n")).where("n > 0")
     none = F.lit(None).cast("string")
     counted = counted.select(F.explode(F.array(F.struct("h", none.alias("w")), F.struct(F.col("pair").alias("h"), "w"))).alias("e"), "ends", "n").select("e.*", "ends", "n").where("h is not null")
 
     # the longest context that is known well enough from other places; a last word that is only the beginning of what
     # follows the same pair elsewhere
-    own = F.col("own").cast("int")
-    asks = unsure.select("u", "id", "part", "own", F.posexplode("asks").alias("k", "h"))
-    known = F.col("w").isNull() & (F.col("n") - own >= SUPPORT)
+    asks = unsure.select("u", "id", "part", F.posexplode("asks").alias("k", "h"))
+    known = F.col("w").isNull() & (F.col("n") >= SUPPORT)
     near = asks.join(counted, "h").groupBy("u", "id").agg(
-        F.max_by(F.when(known, (F.col("ends") - own) / (F.col("n") - own)), F.when(known, F.col("k"))).alias("share"),
+        F.max_by(F.when(known, F.col("ends") / F.col("n")), F.when(known, F.col("k"))).alias("share"),
         F.sum(F.when(F.col("w").startswith(F.col("part")) & (F.col("w") != F.col("part")), F.col("n")).otherwise(0)).alias("longer"),
         F.sum(F.when(F.col("w") == F.col("part"), F.col("n")).otherwise(0)).alias("same"),
     )

@@ -290,3 +290,18 @@ def test_shards_and_shares_grow_with_the_items(spark):
         packed = packing.pack(sizes, specs, share_items=share)
         assert packed.select("doc_id").distinct().count() == packed.count() == 3000
         assert packed.groupBy("container_no").agg((F.sum("size") + F.count("size") - 1).alias("used")).where("used > 40").count() == 0
+
+
+def test_cut_texts_do_not_vouch_for_each_other(spark):
+    # 40 copies of each cut text, and others cut inside the same word, with marks behind the break
+    whole = cut_texts()
+    full = whole[0][1]
+    cut = [full[:-30], full[:-32] + "…", full[:-4] + " [...]", full[:-8] + "…\n", "It was " + full[:-4] + "…"]
+    rows = whole + [(1000 * (k + 1) + i, t) for k, t in enumerate(cut) for i in range(40)]
+    df = spark.createDataFrame(rows, "row_id bigint, text string")
+    want = sorted(i for i, _ in rows if i >= 1000)
+    assert sorted(r["row_id"] for r in truncated(df).collect()) == want
+    # the whole table again and again under other keys
+    times = [df.withColumn("row_id", F.col("row_id") + F.lit(10**6 * k)) for k in range(3)]
+    again = truncated(times[0].unionByName(times[1]).unionByName(times[2]))
+    assert sorted(r["row_id"] for r in again.collect()) == [10**6 * k + i for k in range(3) for i in want]
