@@ -305,3 +305,11 @@ def test_cut_texts_do_not_vouch_for_each_other(spark):
     times = [df.withColumn("row_id", F.col("row_id") + F.lit(10**6 * k)) for k in range(3)]
     again = truncated(times[0].unionByName(times[1]).unionByName(times[2]))
     assert sorted(r["row_id"] for r in again.collect()) == [10**6 * k + i for k in range(3) for i in want]
+
+
+def test_truncated_pairs_in_copies(spark):
+    text = cut_texts()[0][1]
+    rows = [(i, "NO-PROMPT", t) for i, t in cut_texts()] + [(1000 + i, "Who came home near the town hall?", text[:-32] + "…") for i in range(40)]
+    df = spark.createDataFrame(rows, "row_id bigint, prompt string, text string")
+    got = pairs.defects(df, crf.fit([], ["de", "en", "es", "fr"]), truncated(df)).collect()
+    assert sorted(r["row_id"] for r in got if r["defect"] == "truncated") == [1000 + i for i in range(40)]
