@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 from lexweave.functions.text import OMITTED, clean_input, order_key, randint, sentences, uniform, words
 
+#: Slots of the ring of examples_slotted; also the rows that are broadcast.
+RING = 4096
+
 
 def placeholders(template: str) -> list[str]:
     """Names in single braces; doubled braces are text."""
@@ -170,5 +173,22 @@ def examples_random(df: DataFrame, id_col: str, text_col: str, k: int = 2, seed:
     return wants.join(numbered(df, id_col, text_col, seed), "rank").select(id_col, "example_no", "example_id")
 
 
+def examples_slotted(df: DataFrame, id_col: str, text_col: str, k: int = 2, seed: int = 13) -> DataFrame:
+    """(id, example_no, example_id): k draws per row, with repeats, from a ring of RING slots, each with the smallest id of its hash.
+
+    A slot without a text takes the next one's, so every row gets k examples if there is
+    any text.  At most RING texts can be drawn; examples_random draws from all.
+    """
+    slot = F.conv(F.substring(order_key(seed, F.col(id_col)), 1, 3), 16, 10).cast("int")
+    held = df.where(F.col(text_col).isNotNull()).select(slot.alias("slot"), F.col(id_col).alias("x")).groupBy("slot").agg(F.min("x").alias("x"))
+    ring = df.sparkSession.range(RING).select(F.col("id").cast("int").alias("slot")).join(held, "slot", "left")
+    ahead = Window.orderBy("slot").rowsBetween(0, Window.unboundedFollowing)
+    whole = Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    full = ring.select("slot", F.coalesce(F.first("x", ignorenulls=True).over(ahead), F.first("x", ignorenulls=True).over(whole)).alias("example_id"))
+    wants = df.select(id_col, F.explode(F.sequence(F.lit(1), F.lit(k))).alias("example_no"))
+    wants = wants.withColumn("slot", F.floor(uniform(seed + 1, F.col(id_col), F.col("example_no")) * RING).cast("int"))
+    return wants.join(F.broadcast(full), "slot").where("example_id is not null").select(id_col, "example_no", "example_id")
+
+
 def omitted(value: Column) -> Column:
     return F.when((value == "") | value.isNull(), F.lit(OMITTED)).otherwise(value)

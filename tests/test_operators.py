@@ -1,3 +1,4 @@
+import hashlib
 import json
 
 import pytest
@@ -231,6 +232,21 @@ def test_random_examples_come_from_all_texts(spark):
     assert X.examples_random(two.where("text is null"), "doc_id", "text").count() == 0
 
 
+def test_slotted_examples_follow_the_ring(spark):
+    n, texts = 3000, 300
+    got = X.examples_slotted(spark.range(n).select(F.col("id").alias("doc_id"), F.when(F.col("id") < texts, "t").alias("text")), "doc_id", "text").collect()
+    h = lambda *k: int(hashlib.md5(":".join(map(str, k)).encode()).hexdigest()[:8], 16)
+    ring = {}
+    for i in range(texts):
+        ring[h(13, i) >> 20] = min(i, ring.get(h(13, i) >> 20, i))
+    at = sorted(ring)
+    held = lambda slot: ring[next((s for s in at if s >= slot), at[0])]
+    want = {(i, no, held(h(14, i, no) * X.RING >> 32)) for i in range(n) for no in (1, 2)}
+    assert {tuple(r) for r in got} == want and len(got) == 2 * n
+    none = spark.createDataFrame([(1, None)], SCHEMA)
+    assert X.examples_slotted(none, "doc_id", "text").count() == 0
+
+
 @pytest.mark.parametrize("task", ["detection", "attribution"])
 def test_post_repairs_encoding_and_balances(spark, task):
     words = lambda n, w: " ".join(f"{w}{i}" for i in range(n))
