@@ -49,11 +49,13 @@ def fix_encoding(text: pd.Series) -> pd.Series:
     return text.map(fix)
 
 
-def clean(df: DataFrame) -> DataFrame:
-    """Encoding, strip, special tokens, disclosures; row-local, also for streams."""
-    # only texts that the repair can change are sent to Python
-    sent = fix_encoding(F.when(F.col("text").rlike(r"[^\x00-\x7f]|[&\r]"), F.col("text")))
-    fixed = df.withColumn("__fixed", sent).withColumn("text", F.coalesce("__fixed", "text")).drop("__fixed")
+def clean(df: DataFrame, encoding: bool = True) -> DataFrame:
+    """Encoding (unless it is left as it is), strip, special tokens, disclosures; row-local, also for streams."""
+    fixed = df
+    if encoding:
+        # only texts that the repair can change are sent to Python
+        sent = fix_encoding(F.when(F.col("text").rlike(r"[^\x00-\x7f]|[&\r]"), F.col("text")))
+        fixed = df.withColumn("__fixed", sent).withColumn("text", F.coalesce("__fixed", "text")).drop("__fixed")
     cleaned = bind(bind(strip(F.col("text")), remove_special_tokens), remove_disclosures)
     # as a generated column, no filter behind it can be pushed below and clean each text again
     return fixed.select(*[c for c in df.columns if c != "text"], F.explode(F.array(cleaned)).alias("text")).select(*df.columns)

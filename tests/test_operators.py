@@ -12,7 +12,7 @@ from lexweave.operators import pack as P
 from lexweave.operators import post as C
 from lexweave.operators import sampling as S
 from lexweave.operators import stats as M
-from lexweave.plans import pipeline
+from lexweave.plans import pipeline, queries
 from lexweave.sources.io import Config, ConfigError, load_configs
 from lexweave.streaming.clean import clean_stream
 
@@ -258,6 +258,16 @@ def test_post_repairs_encoding_and_balances(spark, task):
     assert C.postprocess(df.where("label = 'x'"), "row_id", task).where("row_id = 1").first()["text"] == words(10, "a")
 
 
+def test_postprocess_full_leaves_encoding_and_lengths(spark, tmp_path):
+    words = lambda n, w: " ".join(f"{w}{i}" for i in range(n))
+    rows = [(1, words(10, "a"), "x", "n"), (2, words(30, "b"), "y", "n"), (3, " Ã©tÃ© ", "x", None), (4, "<error>", "y", "n"), (5, words(30, "b"), "y", "m"), (6, "same", "x", "n"), (7, "same", "y", "n"), (8, None, "x", "n")]
+    spark.createDataFrame(rows, "row_id bigint, text string, label string, domain string").write.parquet(str(tmp_path / "generated_dataset.parquet"))
+    got = {r["row_id"]: r["text"] for r in queries.QUERIES["postprocess_full"](spark, str(tmp_path)).collect()}
+    assert got == {1: words(10, "a"), 2: words(30, "b"), 3: "Ã©tÃ©"}
+    # the query with all steps still has them
+    assert {r["row_id"]: len(r["text"].split()) for r in queries.QUERIES["postprocess_all"](spark, str(tmp_path)).collect()}[2] < 30
+
+
 def test_pipeline_keys_are_unique_per_row(spark, tmp_path):
     # a text of row 1 that row 2 repeats has the smallest key of another text
     docs = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(40))) for i in (1, 2)], SCHEMA)
