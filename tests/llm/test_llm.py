@@ -313,3 +313,18 @@ def test_truncated_pairs_in_copies(spark):
     df = spark.createDataFrame(rows, "row_id bigint, prompt string, text string")
     got = pairs.defects(df, crf.fit([], ["de", "en", "es", "fr"]), truncated(df)).collect()
     assert sorted(r["row_id"] for r in got if r["defect"] == "truncated") == [1000 + i for i in range(40)]
+
+
+def test_copies_are_compared_where_fingerprints_agree(spark, monkeypatch):
+    # fingerprints that tell nothing: only the fields can
+    rows = [(i, f"A text of some length, number {i % 7}", "Human" if i % 2 else "human!") for i in range(60)] + [(3, "A text of some length, number 3", "x")]
+    df = spark.createDataFrame(rows, "row_id bigint, text string, label string")
+    want = {(i % 7, i) for i in range(7, 60)}
+    own = C._hashed
+    for blind in (False, True):
+        if blind:
+            monkeypatch.setattr(C, "_hashed", lambda *a: own(*a).withColumns({f: F.lit(0).cast("bigint") for f in C.FINGERPRINT}))
+        for limit in (0, C.MAP_LIMIT):
+            assert {tuple(r) for r in C.copies(df, "row_id", C.text_fields(df), limit).collect()} == want
+            got = sorted(tuple(r) for r in C.collapse(df, "row_id", C.text_fields(df), limit).collect())
+            assert got == sorted([(k, len(range(k, 60, 7))) for k in range(7)] + [(3, 1)])
