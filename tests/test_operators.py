@@ -217,6 +217,20 @@ def test_simple_model_takes_all_lengths_and_converges(spark, monkeypatch):
     assert all(m.numFeatures == 6 << 14 and m.summary.totalIterations < most for m, most in fits)
 
 
+def test_simple_model_trains_on_a_bare_column(spark, monkeypatch):
+    class Seen(Exception):
+        pass
+
+    def fit(self, df):
+        raise Seen(len(df.schema["features"].json()))
+
+    monkeypatch.setattr(L.LogisticRegression, "fit", fit)
+    with pytest.raises(Seen) as seen:
+        L.simple_model(spark.createDataFrame([(i, f"a b c {i}", "xy"[i % 2]) for i in range(20)], "row_id bigint, text string, label string"), "row_id", "text", F.col("label"), k=2)
+    # not a name for each of 98,304 buckets
+    assert seen.value.args[0] < 1000
+
+
 def test_random_examples_come_from_all_texts(spark):
     n = 6000
     got = X.examples_random(spark.range(n).select(F.col("id").alias("doc_id"), F.lit("t").alias("text")), "doc_id", "text", 3).collect()
