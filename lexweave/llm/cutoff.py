@@ -238,7 +238,8 @@ def truncated(df: DataFrame, id_col: str = "row_id", text_col: str = "text", map
         F.sum(F.when(F.col("w").startswith(F.col("part")) & (F.col("w") != F.col("part")), F.col("n")).otherwise(0)).alias("longer"),
         F.sum(F.when(F.col("w") == F.col("part"), F.col("n")).otherwise(0)).alias("same"),
     )
-    cut = near.where((F.coalesce(F.col("share"), F.lit(1.0)) < ENDS) | F.col("share").isNull() & (F.col("longer") > 5 * F.col("same")))
+    # that it is only a beginning holds whatever the share: in large tables a word misspelt alike ends sentences often enough
+    cut = near.where((F.coalesce(F.col("share"), F.lit(1.0)) < ENDS) | (F.col("longer") > 5 * F.col("same")))
     return cut.select("id").unionByName(asked.where("sure").select("id")).distinct().withColumnRenamed("id", id_col)
 
 

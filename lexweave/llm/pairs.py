@@ -299,9 +299,14 @@ class Pairs:
         return self.glance(prompt)
 
     def own_language(self, prompt: str) -> str | None:
-        """The language of a prompt by its words; judge must have seen its sentences."""
+        """The language of a prompt by its words, and as much again by its stopwords: names must not outweigh them, whatever sample the model is of. Judge must have seen its sentences."""
         proof = [p for p in (self.judge.known[prompt[a:b]] for a, b in units(prompt)) if p is not None]
-        return self.judge.labels[int(sum(proof).argmax())] if proof else None
+        if not proof:
+            return None
+        share = dict(zip(self.judge.labels, map(float, sum(proof))))
+        for name, n in self.votes(prompt).items():
+            share[name] += n
+        return max(share, key=share.__getitem__)
 
     def refuses(self, prompt: str, text: str) -> bool:
         """Does every sentence decline, regret, redirect or repeat the prompt, and at least one decline?"""

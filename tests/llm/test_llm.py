@@ -315,6 +315,28 @@ def test_truncated_pairs_in_copies(spark):
     assert sorted(r["row_id"] for r in got if r["defect"] == "truncated") == [1000 + i for i in range(40)]
 
 
+def test_misspelt_words_do_not_vouch_for_cut_ones(spark):
+    # "earl" for "early" where the sentence ends and inside it: known often enough, and no proof that a text may end there
+    whole = cut_texts()
+    full = whole[0][1]
+    odd = [(500 + i, full[:-2] + ".") for i in range(3)] + [(600 + i, full[:-2] + " and to leave again. " + full) for i in range(3)]
+    rows = [(i, "NO-PROMPT", t) for i, t in whole + odd] + [(1000 + i, "Who came home near the town hall?", full[:-2]) for i in range(2)]
+    df = spark.createDataFrame(rows, "row_id bigint, prompt string, text string")
+    found = truncated(df)
+    assert sorted(r["row_id"] for r in found.collect()) == [1000, 1001]
+    got = pairs.defects(df, crf.fit([], ["de", "en", "es", "fr"]), found).collect()
+    assert sorted(r["row_id"] for r in got if r["defect"] == "truncated") == [1000, 1001]
+
+
+def test_language_of_a_prompt_does_not_hang_on_its_names():
+    p = pairs.Pairs(crf.fit([], ["en", "es", "fr", "it", "pt"]))
+    ask = "Escribe una noticia breve a partir de este resumen: la visita de Nilol Perarel a la sierra."
+    p.judge.learn([ask])
+    # a model that takes the name and words it does not know for French
+    p.judge.known[ask] = p.judge.known[ask] * 0 + [1.0, 5.0, 6.0, 3.0, 2.0]
+    assert p.own_language(ask) == "es"
+
+
 def test_copies_are_compared_where_fingerprints_agree(spark, monkeypatch):
     # fingerprints that tell nothing: only the fields can
     rows = [(i, f"A text of some length, number {i % 7}", "Human" if i % 2 else "human!") for i in range(60)] + [(3, "A text of some length, number 3", "x")]
