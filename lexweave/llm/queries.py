@@ -56,7 +56,7 @@ def _model(spark: SparkSession, sf_dir: str) -> Crf:
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _read(spark, sf_dir, "generated_dataset")
-    return sound_english(rows, _read(spark, sf_dir, "reading_sample"), _model(spark, sf_dir), truncated(rows))
+    return sound_english(rows, _read(spark, sf_dir, "reading_sample"), _model(spark, sf_dir))
 
 
 def p2_levels(spark: SparkSession, sf_dir: str) -> DataFrame:

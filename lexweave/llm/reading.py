@@ -16,8 +16,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexweave.llm.common import is_empty, spread
+from lexweave.llm.common import is_empty, settle, spread
 from lexweave.llm.crf import Crf
+from lexweave.llm.cutoff import truncated
 from lexweave.llm.pairs import NO_PROMPT, Pairs
 from lexweave.llm.units import units
 
@@ -112,8 +113,11 @@ def levels(df: DataFrame, samples: DataFrame, language: Crf, id_col: str = "row_
     return graded.select("id", "band", F.when(F.col("band").isNotNull(), F.col("confidence")).alias("confidence")).withColumnRenamed("id", id_col)
 
 
-def sound_english(df: DataFrame, samples: DataFrame, language: Crf, cut: DataFrame, id_col: str = "row_id", prompt_col: str = "prompt", text_col: str = "text") -> DataFrame:
-    """(id, band) of the texts that are wholly English, long enough, not empty, not cut and no defective answer."""
+def sound_english(df: DataFrame, samples: DataFrame, language: Crf, id_col: str = "row_id", prompt_col: str = "prompt", text_col: str = "text") -> DataFrame:
+    """(id, band) of the texts that are wholly English, long enough, not empty, not cut and no defective answer.
+
+    Whether a text is cut (cutoff.truncated) is asked last, of those alone that meet all the rest.
+    """
     model = Levels([(r["text"], r["band"]) for r in samples.select("text", "band").collect()])
     shared = df.sparkSession.sparkContext.broadcast((model, language))
 
@@ -131,5 +135,6 @@ def sound_english(df: DataFrame, samples: DataFrame, language: Crf, cut: DataFra
     src = df.select(F.col(id_col).cast("bigint").alias("id"), F.when(F.trim(prompt) != NO_PROMPT, prompt).alias("prompt"), text.alias("text"))
     # the words are counted before Python; a text without a Latin letter is not English
     src = src.where(~is_empty(F.col("text")) & F.col("text").rlike(rf"(?U)^\s*+(?:\S++\s++){{{LEAST_WORDS - 1}}}+\S") & F.col("text").rlike("[A-Za-z]{2}"))
-    found = spread(src).mapInPandas(run, "id bigint, band string")
-    return found.where("band is not null").join(cut.select(F.col(id_col).cast("bigint").alias("id")), "id", "left_anti").withColumnRenamed("id", id_col)
+    found = settle(spread(src).mapInPandas(run, "id bigint, band string").where("band is not null"))
+    cut = truncated(df, id_col, text_col, among=found.select(F.col("id").alias(id_col)))
+    return found.join(cut.select(F.col(id_col).cast("bigint").alias("id")), "id", "left_anti").withColumnRenamed("id", id_col)

@@ -328,6 +328,22 @@ def test_misspelt_words_do_not_vouch_for_cut_ones(spark):
     assert sorted(r["row_id"] for r in got if r["defect"] == "truncated") == [1000, 1001]
 
 
+def test_truncated_asked_of_some_alone(spark):
+    # the other rows, and texts without a Latin letter, count for those asked for as they do when all are asked for
+    whole = cut_texts()
+    full = whole[0][1]
+    more = [(1000 + i, full[:-30]) for i in range(3)] + [(1010, full[:-2]), (1011, full + " 4 5 6"), (1012, full + " 7 8 9"), (1013, full[:-32] + "…"), (1014, "Мы видели: \"Иди. Уже")]
+    figures = [(2000 + i, f"Мы видели 4 5 6 раз {i}.") for i in range(5)] + [(2010 + i, "12 13 14") for i in range(5)]
+    for rows in (whole + more, whole + more + figures):
+        df = spark.createDataFrame(rows, "row_id bigint, text string")
+        everything = {r["row_id"] for r in truncated(df).collect()}
+        for own in ([1000, 1010, 1011, 1012, 1013], [1000, 1001, 1010, 1013, 5], [1011]):
+            ids = spark.createDataFrame([(i,) for i in own], "row_id bigint")
+            for limit in (0, 27):
+                got = {r["row_id"] for r in truncated(df, map_limit=limit, among=ids).collect()}
+                assert got & set(own) == everything & set(own)
+
+
 def test_language_of_a_prompt_does_not_hang_on_its_names():
     p = pairs.Pairs(crf.fit([], ["en", "es", "fr", "it", "pt"]))
     ask = "Escribe una noticia breve a partir de este resumen: la visita de Nilol Perarel a la sierra."
